@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import secret_scan, sharding
+from pyspark.sql import functions as F
+
+from . import decontam, langid, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -23,3 +25,22 @@ def op4_sharding(spark, sf_dir):
 @_register
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@_register
+def op5_simhash(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return simhash.near_duplicates(docs, ["doc_id"])
+
+
+@_register
+def op7_decontamination(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decontam.contaminated(docs, items)
+
+
+@_register
+def op10_language_id(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = langid.is_held_out(F.col("doc_id"), 5, 0)
+    return langid.identify(docs, docs.filter(~held_out), keep=["doc_id", held_out.alias("held_out")])

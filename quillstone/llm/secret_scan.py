@@ -21,7 +21,7 @@ PATTERNS = {
     "bare": r"[A-Za-z0-9_+/-]{24,}",
 }
 ORDER = {k: i for i, k in enumerate(PATTERNS)}
-OPEN, CLOSE = "", ""
+OPEN, CLOSE = "\ue000", "\ue001"
 
 
 def _hits(text: Column) -> Column:
