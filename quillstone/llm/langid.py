@@ -58,9 +58,9 @@ def grams(texts: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at, (wide[code // size**2] << 42) | (wide[code // size % size] << 21) | wide[code % size], count
 
 
-def _slices(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[int, int, list[str]]]:
+def _slices(column: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, int, list[str]]]:
     """Runs of rows of about so many characters; a longer text is a run of its own."""
-    texts = [t or "" for t in batch.column("text").to_pylist()]
+    texts = [t or "" for t in column.to_pylist()]
     start = n = 0
     for i, t in enumerate(texts):
         n += len(t) + 3
@@ -82,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         ids = np.array([langs.setdefault(x, len(langs)) for x in b.column("lang").to_pylist()], dtype=np.int64)
-        for i, j, texts in _slices(b):
+        for i, j, texts in _slices(b.column("text")):
             held.append(grams(texts, ids[i:j]))
             if len(held) >= 16:
                 held[:] = [pool()]
@@ -141,8 +141,8 @@ class Ranker:
         return [self.langs[x] if x >= 0 else "und" for x in who], score.tolist()
 
 
-def identify(docs: DataFrame, train: DataFrame, *, text: str = "text", lang: str = "lang", keep: list[str | Column], top: int = 300) -> DataFrame:
-    """docs' `keep` columns plus lang_pred and score, learned from train's text and lang.
+def identify(docs: DataFrame, train: DataFrame, *, text: str = "text", lang: str = "lang", keep: list[str | Column], top: int = 300, named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' `keep` columns plus lang_pred and score (or as `named`), learned from train's text and lang.
 
     Null text or one without letters: `und`, score 0; so is every text if nothing can be learned.
     Rows of train with null text or lang teach nothing. Equal distances: the first language in
@@ -152,19 +152,19 @@ def identify(docs: DataFrame, train: DataFrame, *, text: str = "text", lang: str
     known = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     rows = profiles(known, top)
     shared = spark.sparkContext.broadcast(rows)
-    cols = docs.select(*keep, F.col(text).alias("text"))
-    schema = cols.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    cols = docs.select(*keep, F.col(text).alias("_text"))
+    schema = cols.drop("_text").schema.add(named[0], "string").add(named[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(shared.value, top)
         for b in batches:
             names, scores = [], []
-            for _, _, texts in _slices(b):
+            for _, _, texts in _slices(b.column("_text")):
                 x, y = ranker.predict(texts)
                 names += x
                 scores += y
-            others = [i for i, f in enumerate(b.schema) if f.name != "text"]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in others], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*[b.schema[i].name for i in others], "lang_pred", "score"])
+            others = [i for i, f in enumerate(b.schema) if f.name != "_text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in others], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return cols.mapInArrow(run, schema)
 

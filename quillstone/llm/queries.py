@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import decontam, langid, secret_scan, sharding, simhash
+from . import ann, decontam, langid, packing, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,15 @@ def op10_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = langid.is_held_out(F.col("doc_id"), 5, 0)
     return langid.identify(docs, docs.filter(~held_out), keep=["doc_id", held_out.alias("held_out")])
+
+
+@_register
+def op2_ann(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(rows, F.col("vec_id") % 100 == 0)
+
+
+@_register
+def op9_packing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packing.pack(packing.pieces(docs, ["doc_id"]), ["doc_id", "piece"])
