@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import discard, materialize
 
-TILE = 2048
+TILE = 512
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -57,12 +57,9 @@ def with_fingerprints(docs: DataFrame, keep: list[str | Column], text: str, k: i
 def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what lies within the radius across two tiles: each node with the least it reaches."""
     i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
-    u, v = a[i].view(np.int64), b[j].view(np.int64)
-    u, v = u[u != v], v[u != v]
-    if len(u) < 2:
-        return u, v
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    x, y = at[: len(u)], at[len(u) :]
+    nodes, at = np.unique(np.concatenate([a, b]).view(np.int64), return_inverse=True)
+    x, y = at[: len(a)][i], at[len(a) :][j]
+    x, y = x[x != y], y[x != y]
     root = np.arange(len(nodes))
     while True:
         was = root.copy()
