@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, packing, quality, secret_scan, sharding, simhash
+from . import ann, chat, decontam, langid, packing, quality, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op3_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = langid.is_held_out(F.col("doc_id"), 5, 0)
     return quality.classify(docs, labels.filter(~held_out), keep=["doc_id", held_out.alias("held_out")])
+
+
+@_register
+def op6_chat(spark, sf_dir):
+    return chat.threads(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
