@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, packing, quality, secret_scan, sharding, simhash
+from . import ann, chat, decontam, langid, lm_score, packing, quality, secret_scan, sharding, simhash
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,9 @@ def op3_quality(spark, sf_dir):
 @_register
 def op6_chat(spark, sf_dir):
     return chat.threads(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@_register
+def op1_lm_scoring(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return lm_score.score(docs, langid.is_held_out(F.col("doc_id"), 7, 2))
