@@ -18,3 +18,6 @@ def register(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from .plans import ranking_queries  # noqa: E402, F401  registers on import
