@@ -9,7 +9,7 @@ out as often as the counts allow. Spark does the rest: tokens, counts, ranks and
 from __future__ import annotations
 
 import math
-import re
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,9 +22,8 @@ from pyspark.sql import Window as W
 
 from .scratch import materialize
 
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Cuts where the byte-level pre-tokenizer always cuts: before a blank or other white space.
-_CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]")
+#: Fixed value: the pattern by which byte-level tokenizers of this kind cut text before encoding.
+PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -33,45 +32,44 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes; remembers the chunks it has met.
+    """Token ids of whole texts as little-endian 32-bit bytes, by a tokenizers file.
 
-    Chunks are encoded without context, which gives the same ids as the whole text since the
-    pre-tokenizer never joins characters across a cut. Unknown chunks of many texts are encoded
-    in one call, parted by line feeds, whose id no chunk of other characters can hold.
+    The file's vocabulary also drives a faster byte-pair encoder, which makes the same ids where
+    ids follow the order of merges. That is tested on the first texts of each task; if it fails,
+    and for texts that hold a special token's string, the tokenizers library itself encodes.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, at = Tokenizer.from_file(path), byte_of()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.feed = self.ids("\n")[0]
+        vocabulary = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special and all(c in at for c in t)}
+        ranks = {bytes(at[c] for c in t): i for t, i in vocabulary.items()}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}) if len(ranks) >= 256 else None
+        self.tested = False
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[str]) -> None:
-        odd = [c for c in new if "\n" in c or c[0].isspace() and c[0] != " " or len(c) > 1 and c[1].isspace()]
-        for c in odd:
-            self.known[c] = np.array(self.ids(c), dtype="<u4").tobytes()
-        plain = sorted(set(new) - set(odd))
-        for i in range(0, len(plain), 20_000):
-            some = plain[i : i + 20_000]
-            got = np.array(self.ids("\n".join(["", *some])), dtype="<u4")
-            at = np.flatnonzero(got == self.feed)
-            for c, x, y in zip(some, at + 1, np.append(at[1:], len(got)), strict=True):
-                self.known[c] = got[x:y].tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known = {}
-        cut = [None if any(s in t for s in self.special) else _CHUNK.findall(t) for t in texts]
-        new = set().union(*[c for c in cut if c]) - self.known.keys()
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [np.array(self.ids(t), dtype="<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        if self.fast and not self.tested:
+            some = [t[:2000] for t in texts[:50] if not any(s in t for s in self.special)]
+            self.tested = bool(some)
+            if any(self.ids(t) != self.fast.encode_ordinary(t) for t in some):
+                self.fast = None
+        slow = lambda t: not self.fast or any(s in t for s in self.special)
+        return [np.array(self.ids(t) if slow(t) else self.fast.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
 
 
 def pieces(docs: DataFrame, keep: list[str], *, text: str = "text", tokenizer: str | Callable[[], str] = public_tokenizer, end_id: int = 2, size: int = 1024, with_ids: bool = False) -> DataFrame:
