@@ -87,7 +87,7 @@ def contexts(c: np.ndarray, first: np.ndarray, shape: Shape) -> np.ndarray:
     at = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
     out = np.full((len(c), shape.context), shape.classes, dtype=np.int32)
     for i in range(shape.context):
-        out[i + 1 :, i] = c[: len(c) - i - 1]
+        out[i + 1 :, i] = c[: max(0, len(c) - i - 1)]
         out[at <= i, i] = shape.classes
     return out
 
