@@ -32,11 +32,12 @@ def _letters() -> np.ndarray:
 def grams(texts: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted (group, code, count) of the 1- to 3-grams of all texts; texts of one group are pooled.
 
-    A code packs up to three code points of 21 bits. Words are framed by blanks.
+    Every text follows three blanks, so that no n-gram spans two texts. A code packs up to three code points of 21 bits. Words are framed by blanks.
     """
-    cps = np.frombuffer(("   ".join(texts) + "   ").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    sizes = np.fromiter((len(t.lower()) + 3 for t in texts), dtype=np.int64, count=len(texts))
-    group = np.repeat(groups, sizes)
+    texts = [t.lower() for t in texts]
+    cps = np.frombuffer(("   " + "   ".join(texts) + "   ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.fromiter((len(t) + 3 for t in texts), dtype=np.int64, count=len(texts))
+    group = np.concatenate([np.repeat(groups, sizes), groups[-1:], groups[-1:], groups[-1:]])
     cps = np.where(_letters()[np.minimum(cps, 0x10FFFF)], cps, BLANK)
     cps = np.concatenate([[BLANK], cps, [BLANK]]).astype(np.int64)
     alphabet, c = np.unique(cps, return_inverse=True)
@@ -75,6 +76,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def pool() -> tuple:
         at, code, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(at):
+            return at, code, n
         order = np.lexsort((code, at))
         at, code, n = at[order], code[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (code[1:] != code[:-1])]))
