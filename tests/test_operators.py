@@ -149,3 +149,18 @@ def test_markup():
 def test_plans_prune_and_push(spark):
     plan = spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'de'").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[.*EqualTo\(lang,de\)", plan) and "text" not in plan.split("ReadSchema")[1]
+
+
+def test_alignment_and_state_machines(spark):
+    from quillstone.operators import enrichment
+
+    unit = lambda i: " ".join(f"stem{chr(97 + i)}{j}word" for j in range(8))
+    left, right = [unit(0), unit(1), unit(2), unit(3)], [unit(0), f"{unit(1)} {unit(2)}", "wholly other text here", unit(3)]
+    assert enrichment.align(left, right) == [(0, 1, 0, 1), (1, 3, 1, 2), (3, 4, 3, 4)]
+    ev = spark.createDataFrame([(1, 0, 0, "claim"), (1, 1, 50, "claim"), (1, 2, 90, "claim"), (1, 3, 95, "finish"), (1, 4, 99, "claim"), (2, 5, 0, "fail")], "key long, event_id long, at long, action string")
+    got = {r.event_id: (r.state, r.granted) for r in enrichment.leases(ev, 90).collect()}
+    assert got == {0: ("claimed", True), 1: ("claimed", False), 2: ("claimed", True), 3: ("ready", True), 4: ("ready", False), 5: ("pending", False)}
+    ok = {r.event_id: r.admitted for r in enrichment.trailing_admission(ev, 60, 1).collect()}
+    assert ok == {0: True, 1: False, 2: True, 3: False, 4: False, 5: True}
+    t = spark.createDataFrame([("abcdef",)], "t string").select(enrichment.interleave(F.col("t"), F.array(F.struct(F.lit(4).alias("at"), F.lit(2).alias("n")), F.struct(F.lit(0).alias("at"), F.lit(1).alias("n")))))
+    assert t.first()[0] == "[1]abcd[2]ef"
