@@ -173,4 +173,4 @@ def identify(docs: DataFrame, train: DataFrame, *, text: str = "text", lang: str
 
 
 def is_held_out(doc_id: Column, parts: int, rest: int) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == rest
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == rest, F.lit(False))
