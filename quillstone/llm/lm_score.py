@@ -181,6 +181,22 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def commonest(counts: DataFrame, most: int) -> list:
+    """The rows of counts(token, c) above the least frequency that at most `most` tokens reach, frequent first.
+
+    The bound comes from a histogram of frequencies in steps of a sixteenth of a doubling, so the
+    driver gets a row for each step and then `most` rows at most, however many tasks there are.
+    """
+    step = F.floor(F.log2("c") * 16)
+    above, bound = 0, None
+    for s, n in sorted(map(tuple, counts.groupBy(step).count().collect()), reverse=True):
+        above += n
+        if above > most:
+            break
+        bound = s
+    return [] if bound is None else sorted(counts.filter(step >= bound).collect(), key=lambda r: (-r.c, r.token))
+
+
 def train(texts: DataFrame, common: list[str], noise: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     """Parameters learned from every token of texts(part, text), part running from 0 to rounds - 1.
 
@@ -238,7 +254,7 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
     counts = materialize(count_tokens(learned.select("text")), "lm-counts")
     head = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     total, distinct = head[0] or 0, head[1]
-    common = counts.orderBy(F.desc("c"), "token").limit(shape.common).collect()  # bounded by shape.common
+    common = commonest(counts, shape.common)
     words = [r.token for r in common]
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
