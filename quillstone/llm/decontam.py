@@ -2,9 +2,10 @@
 
 Numbers, names and units become typed placeholders; windows of five template words are hashed
 and joined with the benchmark's. A document holds an item if it has at least 0.8 of the item's
-distinct windows and one reading of the item's slots that does not contradict itself: wherever
-the item repeats a slot value, the document repeats one value too. So a question asked again
-with other numbers is found, and chance agreement of loose windows is not.
+distinct windows and, at one place at least, a reading of the item's slots that does not
+contradict itself: wherever the item repeats a slot value, the document repeats one value too.
+So a question asked again with other numbers is found, and chance agreement of loose windows is
+not; further places that hold the template with other values change nothing.
 """
 
 from __future__ import annotations
@@ -77,17 +78,41 @@ def find(docs: DataFrame, benchmark: DataFrame, *, key: str, text: str = "text",
         return hits
     # the item's windows and the document's are laid over each other to read the slots
     cut = lambda ws: F.transform(starts, lambda i: F.struct(F.array_join(F.slice("t", i + 1, k), " ").alias("tw"), F.slice(ws, i + 1, k).alias("ww"), F.slice("t", i + 1, k).alias("tt")))
-    iw = slotted.select("item_id", F.explode_outer(F.array_distinct(cut(F.col("w")))).alias("x")).select("item_id", "x.tw", F.col("x.ww").alias("iww"), "x.tt").filter(literal(F.col("tt")))
-    held = docs.join(asked.select(key).distinct(), key, "left_semi").select(key, words_of(F.col(text)).alias("_w"))
+    iw = slotted.select("item_id", F.size("t").alias("n"), F.posexplode_outer(cut(F.col("w"))).alias("p", "x")).select("item_id", "n", "p", "x.tw", F.col("x.ww").alias("iww"), "x.tt").filter(literal(F.col("tt")))
+    held = docs.join(asked.select(key).distinct(), key, "left_semi").select(key, words_of(F.col(text)).alias("_w")).distinct()
     held = held.select(key, _split(F.col("_w")).alias("w"), _split(template_of(F.col("_w"))).alias("t")).filter(F.size("t") > 0)
-    hw = held.select(key, F.explode_outer(F.array_distinct(cut(F.col("w")))).alias("x")).select(key, "x.tw", F.col("x.ww").alias("dww"))
-    read = hw.join(asked.select(key, "item_id"), key).join(iw, ["item_id", "tw"])
-    slots = read.select(key, "item_id", F.explode(F.arrays_zip("tt", "iww", "dww")).alias("z")).filter(F.col("z.tt").isin(NAME, UNIT, NUM))
-    # a slot value's best reading is the one that most windows give; the rest must be a minority
-    seen = slots.groupBy(key, "item_id", "z.iww", "z.dww").agg(F.count(F.lit(1)).alias("n"))
-    agreed = seen.groupBy(key, "item_id", "iww").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    bad = agreed.groupBy(key, "item_id").agg(F.sum("best").alias("best"), F.sum("n").alias("n")).filter(F.col("best") < share * F.col("n"))
-    return hits.join(bad.select(key, "item_id"), [key, "item_id"], "left_anti")
+    hw = held.select(key, F.posexplode_outer(cut(F.col("w"))).alias("q", "x")).select(key, "q", "x.tw", F.col("x.ww").alias("dww"))
+    read = materialize(hw.join(asked.select(key, "item_id", "windows"), key).join(iw, ["item_id", "tw"]), "decontam-read")
+    pair = [key, "item_id"]
+    # over the whole document, as for an item in scattered pieces, and at each place by itself
+    loose = _agreed(read.select(*pair, "tw", "tt", "iww", "dww").distinct(), pair, share)
+    kept = loose.union(_agreed(_places(read, pair, share), [*pair, "place"], share).select(*pair)).distinct()
+    bad = read.select(*pair).distinct().join(kept, pair, "left_anti")
+    return hits.join(bad, pair, "left_anti")
+
+
+def _places(read: DataFrame, pair: list[str], share: float) -> DataFrame:
+    """Readings of an item at each place of a document that holds the share of its windows.
+
+    A place is a range of offsets between document and item as wide as the item; ranges overlap
+    by half, so that inserted or dropped words don't tear a place apart. There, a window of the
+    item is read at the one offset that most windows have.
+    """
+    off, n = F.col("q") - F.col("p"), F.col("n")
+    ranges = F.array(*[F.struct(F.lit(i).alias("half"), F.floor((2 * off + i * n) / (2 * n)).alias("at")) for i in (0, 1)])
+    at = read.select("*", off.alias("off"), F.explode(ranges).alias("place"))
+    common = at.groupBy(*pair, "place", "off").agg(F.count(F.lit(1)).alias("c"))
+    one = at.join(common, [*pair, "place", "off"]).groupBy(*pair, "place", "p", "windows", "tw", "tt", "iww").agg(F.max_by("dww", F.struct("c", -F.col("off"))).alias("dww"))
+    whole = one.groupBy(*pair, "place", "windows").agg(F.count_distinct("tw").alias("m")).filter(F.col("m") >= share * F.col("windows"))
+    return one.join(whole.select(*pair, "place"), [*pair, "place"], "left_semi")
+
+
+def _agreed(read: DataFrame, by: list[str], share: float) -> DataFrame:
+    """Groups whose slot values are read in one way: of a value's readings, the best have the share."""
+    slots = read.select(*by, F.explode(F.arrays_zip("tt", "iww", "dww")).alias("z")).filter(F.col("z.tt").isin(NAME, UNIT, NUM))
+    seen = slots.groupBy(*by, "z.iww", "z.dww").agg(F.count(F.lit(1)).alias("n"))
+    agreed = seen.groupBy(*by, "iww").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+    return agreed.groupBy(*by).agg(F.sum("best").alias("best"), F.sum("n").alias("n")).filter(F.col("best") >= share * F.col("n")).select(*by)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from quillstone.llm import neardup
+from quillstone.llm import decontam, neardup
 
 SF = "/root/testdata/sf0.01"
 
@@ -59,3 +59,28 @@ def test_near_dedup_mixed_bands(spark):
     got = neardup.groups(docs, ["doc_id"], digest=F.xxhash64("text")).collect()
     assert grouping((x.doc_id, x.root) for x in got) == grouping(components(texts, alike(texts)).items())
     assert neardup.groups(docs.limit(0), ["doc_id"], digest=F.xxhash64("text")).count() == 0
+
+
+TRAIN = "When a train leaves Boston at 40 km per hour how long does it take to cover 120 km of track without a stop"
+PEARS = "3 pears cost 4 dollars in town, 6 pears cost 8 dollars in town, 9 pears cost 12 dollars in town, so say what 3 pears and 9 pears cost"
+GIFTS = "they say that Anna gave 5 apples to Tom and then Tom gave some apples back to Anna before lunch was made by Anna for Tom"
+
+
+def holds(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+
+
+def changed(text, **by):
+    return " ".join(by.get(w.strip(",."), w) if w.strip(",.").isalpha() else by.get("n" + w, w) for w in text.split())
+
+
+def test_decontamination_many_places(spark):
+    again = [changed(TRAIN, n40=str(50 + i), n120=str(700 + i), Boston="Dover") for i in range(6)]
+    other = changed(PEARS, n3="5", n4="7", n6="11", n8="13", n9="17", n12="19")
+    torn = changed(TRAIN, n40="51", n120="333").replace("how long", "how very long")
+    texts = [f"{TRAIN}. and {again[0]}", ". and ".join([*again, TRAIN, *again]), ". so ".join(again), f"first {PEARS} then", f"first {other} then", f"{torn}. and " + ". and ".join(again)]
+    texts += [changed(GIFTS, Anna="Eve", Tom="Max"), "they say that Eve gave 5 apples to Max and then Ida gave some apples back to Leo before lunch was made by Ben for Kim"]
+    got = holds(spark, texts, [TRAIN, PEARS, GIFTS])
+    assert got == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 0), (6, 2)}
