@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows. DataFrame functions only.
 
-Numbers, names and units become typed placeholders; windows of five template words are hashed
-and joined with the benchmark's. A document holds an item if it has at least 0.8 of the item's
-distinct windows and, at one place at least, a reading of the item's slots that does not
+Numbers, names and units become typed placeholders; windows of five template words, and of five
+plain lower-case words, are hashed and joined with the benchmark's. A document holds an item if it has at least 0.8 of the item's
+distinct plain windows, or of its template windows and, at one place at least, a reading of the item's slots that does not
 contradict itself: wherever the item repeats a slot value, the document repeats one value too.
 So a question asked again with other numbers is found, and chance agreement of loose windows is
 not; further places that hold the template with other values change nothing.
@@ -18,7 +18,15 @@ from .scratch import materialize
 NAME, UNIT, NUM = "\ue002", "\ue003", "\ue004"
 #: Units that count as such after a number.
 UNITS = "kg|g|mg|km|m|cm|mm|mi|miles|ft|feet|inches|lb|lbs|oz|l|ml|s|sec|seconds|min|minutes|h|hours|days|weeks|months|years|percent|usd|eur|dollars|euros|cents|mph|kmh|degrees"
-NAMED = r"([\p{Ll}\p{Nd},;] )(\p{Lu}\p{Ll}+)"
+#: Words that are no names though a sentence starts with them (English, German, French, Spanish).
+COMMON = (
+    "a|about|after|all|also|although|an|and|another|any|are|as|at|be|because|before|both|but|by|can|could|did|do|does|during|each|either|every|few|find|for|from|given|had|has|have|he|her|here|his|how|however|i|if|in|into|is|it|its|let|many|may|more|most|much|my|no|not|now|of|on|once|one|only|or|other|our|she|should|since|so|some|such|suppose|than|that|the|their|then|there|these|they|this|those|though|thus|to|under|until|was|we|were|what|when|where|which|while|who|whom|whose|why|will|with|would|yes|you|your"
+    "|aber|als|am|auch|auf|aus|bei|das|dem|den|der|des|die|durch|ein|eine|einem|einen|einer|er|es|für|ich|im|ist|kann|man|mit|nach|nicht|oder|sie|sind|und|vom|von|vor|wann|war|warum|was|wenn|wer|wie|wieviel|wir|wird|wo|zu|zum|zur"
+    "|au|aux|avec|ce|ces|cette|comment|dans|de|du|elle|elles|en|est|et|il|ils|je|la|le|les|leur|mais|nous|où|ou|par|pas|pour|pourquoi|quand|que|quel|quelle|qui|sa|si|son|sur|un|une|vous"
+    "|al|como|cómo|con|cuál|cuando|cuándo|cuánto|cuántos|del|donde|dónde|el|ella|ellos|ese|esta|este|hay|las|lo|los|para|pero|por|qué|quién|se|sin|su|una|uno|y"
+)
+#: A capitalised word that starts there and is not a common one.
+NAMED = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}])(?<!\p{{L}}['’-])(?!(?iu:{COMMON})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}+"
 MEASURED = rf"(\p{{Nd}} )({UNITS})([\s.,;:!?]|$)"
 DROPPED = rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NAME}{UNIT}\s]+"
 NUMBER = r"(^|\s)[^\s\p{Nd}]*\p{Nd}\S*"
@@ -28,8 +36,7 @@ SLOT = rf"([{NAME}{UNIT}])\S+"
 def words_of(text: Column) -> Column:
     """Lower-case words without punctuation; names and units carry a marker in front."""
     t = F.translate(F.coalesce(text, F.lit("")), NAME + UNIT + NUM, "")
-    for _ in range(2):  # adjoining names share a blank; the second pass reaches those between
-        t = F.regexp_replace(t, NAMED, f"$1{NAME}$2")
+    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), NAMED, f"{NAME}$0")
     t = F.regexp_replace(t, MEASURED, f"$1{UNIT}$2$3")
     return F.lower(F.regexp_replace(t, DROPPED, ""))
 
@@ -50,30 +57,45 @@ def _windows(words: Column, k: int) -> Column:
     return F.when(n >= k, full).when(n > 0, F.array(F.xxhash64(F.array_join(words, " "), n))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of all runs of n words, equal to _windows' hash of a text of just those words where that is short."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " "), F.lit(n)))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, *, key: str, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = 5, share: float = 0.8) -> DataFrame:
     """Pairs (key, item_id, matched, windows) of documents and the items that they hold.
 
-    docs.key must identify a row. Items are rows: repeated items are found separately if their
-    ids differ. Null, empty or punctuation-only texts hold nothing and are held by nothing; windows of placeholders alone
-    don't count. An item shorter than k words is one window over its whole text. Empty tables:
-    no pairs. Which side of the window join is broadcast is left to Spark's size check.
+    docs.key must identify a row. Windows of the template and of the plain lower-case words are
+    counted apart; the greater share is reported, and what the plain words show needs no reading
+    of slots. Items are rows: repeated items are found separately if their ids differ. Null,
+    empty or punctuation-only texts hold nothing and are held by nothing; windows of placeholders
+    alone don't count. An item shorter than k words is one window over its whole text: its plain
+    words are found anywhere, its template (which says too little) only as a whole document.
+    Empty tables: no pairs. Which side of the window join is broadcast is left to Spark's size check.
     """
+    plain = lambda w: _split(F.translate(w, NAME + UNIT, ""))
     b = benchmark.select(F.col(item).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("_w"))
-    b = b.select("item_id", _split(F.col("_w")).alias("w"), _split(template_of(F.col("_w"))).alias("t"))
+    b = b.select("item_id", _split(F.col("_w")).alias("w"), _split(template_of(F.col("_w"))).alias("t"), plain(F.col("_w")).alias("p")).filter(F.size("t") > 0)
+    short = sorted(r.n for r in b.filter(F.size("t") < k).select(F.size("t").alias("n")).distinct().collect())  # less than k numbers
     literal = lambda ws: F.exists(ws, lambda w: ~w.isin(NAME, UNIT, NUM))
     starts = F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0)))
-    bw = b.filter(F.size("t") > 0).select("item_id", "t", F.posexplode_outer(_windows(F.col("t"), k)).alias("at", "h"))
-    bw = bw.filter(literal(F.slice("t", F.col("at") + 1, k))).select("item_id", "h").distinct()
-    items = bw.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
-    bw = materialize(bw.join(items, "item_id"), "decontam-items")
-
-    dw = docs.select(key, _split(template_of(words_of(F.col(text)))).alias("_t")).select(key, F.array_distinct(_windows(F.col("_t"), k)).alias("h"))
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), _windows(F.col(c), k).alias("hs")) for c in ("t", "p")])
+    bw = b.select("item_id", "t", F.explode_outer(kinds).alias("x")).select("item_id", "t", "x.kind", F.posexplode_outer("x.hs").alias("at", "h"))
+    bw = bw.filter(literal(F.slice("t", F.col("at") + 1, k))).select("item_id", "kind", "h").distinct()
+    items = bw.groupBy("item_id", "kind").agg(F.count(F.lit(1)).alias("windows"))
+    bw = materialize(bw.join(items, ["item_id", "kind"]), "decontam-items")
+
+    dw = docs.select(key, words_of(F.col(text)).alias("_w")).select(key, _split(template_of(F.col("_w"))).alias("_t"), plain(F.col("_w")).alias("_p"))
+    dw = dw.select(key, F.array_distinct(F.concat(_windows(F.col("_t"), k), _windows(F.col("_p"), k), *[_runs(F.col("_p"), n) for n in short])).alias("h"))
     dw = dw.select(key, F.explode_outer("h").alias("h"))  # outer: else a size test repeats the work below
-    hits = dw.join(bw, "h").groupBy(key, "item_id").agg(F.count(F.lit(1)).alias("matched"), F.first("windows").alias("windows"))
-    hits = materialize(hits.filter(F.col("matched") >= share * F.col("windows")), "decontam-hits")
+    hits = dw.join(bw, "h").groupBy(key, "item_id", "kind").agg(F.count(F.lit(1)).alias("matched"), F.first("windows").alias("windows"))
+    told = materialize(hits.filter(F.col("matched") >= share * F.col("windows")), "decontam-hits")
+    best = F.max(F.struct(F.col("matched") / F.col("windows"), "matched", "windows")).alias("m")
+    hits = told.groupBy(key, "item_id").agg(best).select(key, "item_id", "m.matched", "m.windows")
 
     slotted = b.filter(F.exists("t", lambda w: w.isin(NAME, UNIT, NUM)))
-    asked = hits.join(slotted.select("item_id"), "item_id", "left_semi")
+    asked = told.filter("kind = 't'").join(told.filter("kind = 'p'"), [key, "item_id"], "left_anti").join(slotted.select("item_id"), "item_id", "left_semi")
     if asked.isEmpty():
         return hits
     # the item's windows and the document's are laid over each other to read the slots

@@ -84,3 +84,14 @@ def test_decontamination_many_places(spark):
     texts += [changed(GIFTS, Anna="Eve", Tom="Max"), "they say that Eve gave 5 apples to Max and then Ida gave some apples back to Leo before lunch was made by Ben for Kim"]
     got = holds(spark, texts, [TRAIN, PEARS, GIFTS])
     assert got == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 0), (6, 2)}
+
+
+def test_decontamination_names_and_blanks(spark):
+    item = "Karla bought pens and paper at the shop. Peter bought rather more of them. Maria then paid for all that they had"
+    again = item.replace("Karla", "Ines").replace("Peter", "Boris").replace("Maria", "Olga")
+    texts = [
+        f"well {again} indeed", TRAIN.lower(), TRAIN.replace(" Boston", "\nBoston"), TRAIN.replace(" Boston", "  Boston").upper(), again.replace("Boris", "\n  Boris"),
+        "he said: Call me Ishmael! and left", "call me later", "Call Me\tIshmael", "I was there at 42", "Olga went home. Boris did not.",
+    ]
+    got = holds(spark, texts, [item, TRAIN, "Call me Ishmael", "42"])
+    assert got == {(0, 0), (4, 0), (1, 1), (2, 1), (3, 1), (5, 2), (7, 2)}
