@@ -73,14 +73,15 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repo: s
     """One row per input row, with its spans and their labels.
 
     docs: any table holding the named columns; other columns are ignored. owner: who holds the
-    text; without one, each distinct text is its own owner, so copies of a text count once.
+    text; without one, the repository is the owner, so a value is shared only if several
+    repositories hold it, however many of their texts do.
     A value is `live` if at most max_repos repositories and max_owners owners hold it.
     Null text: as empty, no spans. Null repository or owner: one value of its own.
     Repeated rows and doc_ids: each row has its own result. Empty table: no rows.
     Columns: doc_id, n_assign, n_access, n_hex (base counts), base_sha256, spans (all kinds),
     n_live, n_shared (long), live_spans.
     """
-    who = F.col(owner).cast("string") if owner else F.xxhash64(F.col(text)).cast("string")
+    who = F.col(owner or repo).cast("string")
     rows = docs.select(
         F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("repo"),
         F.coalesce(who, F.lit("")).alias("owner"), F.when(_hits(F.col(text)), F.col(text)).alias("_text"),

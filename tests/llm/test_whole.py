@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from quillstone.llm import decontam, neardup
+from quillstone.llm import decontam, neardup, secret_scan
 
 SF = "/root/testdata/sf0.01"
 
@@ -95,3 +95,14 @@ def test_decontamination_names_and_blanks(spark):
     ]
     got = holds(spark, texts, [item, TRAIN, "Call me Ishmael", "42"])
     assert got == {(0, 0), (4, 0), (1, 1), (2, 1), (3, 1), (5, 2), (7, 2)}
+
+
+def test_secrets_of_one_repository(spark):
+    import corpus_pipeline
+
+    key, bare, shared = "token=live9876543210ab", "Zx8Kq2LmN4pR7sT1vW3yB6cD", "secret=sample12345678"
+    rows = [(i, f"file {i} {key} and {bare} here", "en", "one") for i in range(40)] + [(100 + i, f"page {i} {shared}", "en", f"repo{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.n_live, r.n_shared) for r in secret_scan.scan(docs).collect()}
+    assert all(got[i] == ((2, 0) if i < 100 else (0, 1)) for i in got) and len(got) == len(rows)
+    assert {r.doc_id for r in corpus_pipeline.secrets(spark, docs, SF).collect()} == set(range(100, 105))
