@@ -106,3 +106,13 @@ def test_secrets_of_one_repository(spark):
     got = {r.doc_id: (r.n_live, r.n_shared) for r in secret_scan.scan(docs).collect()}
     assert all(got[i] == ((2, 0) if i < 100 else (0, 1)) for i in got) and len(got) == len(rows)
     assert {r.doc_id for r in corpus_pipeline.secrets(spark, docs, SF).collect()} == set(range(100, 105))
+
+
+def test_near_dedup_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    words = [" ".join(f"t{i}w{j}" for j in range(40)) for i in range(6)]
+    rows = [(None, words[0], "en"), (None, words[1], "en"), (7, words[2], "en"), (7, words[3], "en"), (8, words[4], "en"), (9, words[4] + " end", "en"), (None, words[5], "en"), (3, words[5], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.text, r.doc_id) for r in corpus_pipeline.dedup(spark, docs, SF).collect())
+    assert got == sorted([(words[0], None), (words[1], None), (words[2], 7), (words[3], 7), (words[4], 8), (words[5], 3)])
