@@ -56,11 +56,87 @@ def test_lm_base_and_gain(spark, docs):
     assert out and sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_lm_classes_are_normalised():
-    shape, r = lm_score.Shape(), np.random.default_rng(0)
-    p = {k: r.standard_normal(v.shape).astype(np.float32) * 0.3 for k, v in lm_score.start(shape, np.full(shape.classes, 1 / shape.classes)).items()}
-    ctx = np.repeat(r.integers(0, shape.classes, (1, shape.context)), shape.classes, axis=0)
-    assert (10 ** lm_score.normalised(p, ctx, np.arange(shape.classes))).sum() == pytest.approx(1, abs=1e-4)
+SMALL = lm_score.Shape(words=40, forms=8, least=2, classes=6, width=4, noise=5, leaf_noise=3)
+
+
+def small_tree(shape=SMALL):
+    r = np.random.default_rng(1)
+    words = [(b"w%d" % i, int(c)) for i, c in enumerate(sorted(r.integers(2, 400, shape.words), reverse=True))]
+    return lm_score.Tree(words, np.column_stack([r.integers(0, 60, shape.forms), r.integers(0, 9, shape.forms)]).astype(float), shape)
+
+
+def learned(tree, shape=SMALL, kind=np.float64):
+    r = np.random.default_rng(2)
+    return {k: (x + r.standard_normal(x.shape) * 0.3).astype(kind) for k, x in lm_score.start(tree, shape).items()}
+
+
+def test_lm_vocabulary_is_normalised():
+    """P(leaf | context) sums to 1 over all leaves; a form's tokens and one unknown share its leaf whole."""
+    tree, r = small_tree(), np.random.default_rng(3)
+    for ctx in r.integers(0, tree.leaves + 1, (5, SMALL.context)):
+        all_leaves = np.arange(tree.leaves)
+        got = 10 ** lm_score.Scorer(learned(tree, kind=np.float32), tree)(np.repeat(ctx[None], tree.leaves, axis=0), all_leaves)
+        assert got.sum() == pytest.approx(1, abs=1e-5) and (got > 0).all()
+    counts = Counter({b"aaa": 5, b"baaa": 1, b"caaa": 9})  # one form
+    forms = np.zeros((8, 2))
+    forms[lm_score.form(b"aaa", 8)] = sum(counts.values()), len(counts)
+    tree = lm_score.Tree([], forms, SMALL)
+    leaf = tree.form_leaf[lm_score.form(b"aaa", 8)]
+    assert sum((c + 1) / 10 ** tree.inside[leaf] for c in [*counts.values(), 0]) == pytest.approx(1)
+    assert sorted(np.concatenate([small_tree().word_leaf, small_tree().form_leaf])) == list(range(48)) and small_tree().size.sum() == 48
+
+
+def test_lm_gradient():
+    tree, r = small_tree(), np.random.default_rng(4)
+    p, n = learned(tree), 60
+    y = np.sort(r.integers(0, tree.leaves, n))
+    ctx, weight = r.integers(0, tree.leaves + 1, (n, SMALL.context)), r.random(n) + 0.5
+    drawn, leaf_drawn = r.integers(0, len(tree.first), 5), r.random(3)
+
+    def loss():
+        total = 0.0
+        sig = lambda x: 1 / (1 + math.exp(-x))
+        for c, t, w in zip(ctx, y, weight, strict=True):
+            h = sum(p["R"][x] @ p["C"][i] for i, x in enumerate(c))
+            k, s = tree.of[t], lambda at: h @ p["Q"][at] + p["b"][at] - math.log(len(drawn) * tree.mass[at])  # noqa: B023
+            total -= w * (math.log(sig(s(k))) + sum(math.log(1 - sig(s(x))) for x in drawn))
+            if tree.size[k] > 1:
+                s = lambda at: h @ p["W"][at] + p["w"][at] - math.log(len(leaf_drawn) / tree.size[k])  # noqa: B023
+                total -= w * (math.log(sig(s(t))) + sum(math.log(1 - sig(s(tree.first[k] + int(x * tree.size[k])))) for x in leaf_drawn))
+        return total
+
+    got = lm_score.gradients(p, tree, ctx, y, weight, drawn, leaf_drawn)
+    for name, x in p.items():
+        for at in {tuple(r.integers(0, x.shape)) for _ in range(12)} | ({(c, 0) for c in ctx[:3, 0].tolist()} if name == "R" else set()):
+            was = x[at]
+            x[at] = was + 1e-5
+            up = loss()
+            x[at] = was - 1e-5
+            down = loss()
+            x[at] = was
+            assert got[name][at] == pytest.approx((up - down) / 2e-5, abs=1e-5, rel=1e-4), (name, at)
+
+
+def test_lm_any_partitioning(docs):
+    shape = lm_score.Shape(words=500, least=4, shard=8_000, batch=1024)
+    runs = [{r.doc_id: r for r in lm_score.score(docs.repartition(n), held_out(7, 2), shape=shape).collect()} for n in (1, 16)]
+    for i, r in runs[0].items():
+        assert r.score == pytest.approx(runs[1][i].score, rel=1e-6) and r.base_score == pytest.approx(runs[1][i].base_score, rel=1e-9)
+
+
+def test_lm_commonest_ties(spark):
+    rows = [(f"t{i}", 5) for i in range(3000)] + [("top", 90), ("next", 60)]
+    got = lm_score.commonest(spark.createDataFrame(rows, "token string, c long"), 1000)
+    assert got[:2] == [(b"top", 90), (b"next", 60)] and 800 < len(got) < 1200
+    assert lm_score.commonest(spark.createDataFrame(rows, "token string, c long").limit(0), 10) == []
+
+
+def test_lm_copies_and_order(spark, docs):
+    """A text's copies weigh in by their number; nothing depends on the order of rows."""
+    rows = [(i, "a b c d e f " * 20, "x") for i in range(40)] + [(100 + i, f"w{i} and the rest w{i % 3}", "x") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, token string")
+    one, two = ({r.doc_id: r.score for r in lm_score.score(d, held_out(7, 2)).collect()} for d in (df, df.orderBy(F.desc("doc_id"))))
+    assert one == pytest.approx(two, rel=1e-6)
 
 
 def test_lm_awkward(awkward, empty):
