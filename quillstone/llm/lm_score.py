@@ -45,10 +45,10 @@ class Shape:
     to every task; the rest are joined.
     """
 
-    words: int = 7936
+    words: int = 3840
     forms: int = 256
     least: int = 8
-    classes: int = 96
+    classes: int = 64
     width: int = 16
     context: int = 3
     noise: int = 32
@@ -276,15 +276,16 @@ def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     So the driver gets a row for each step and then about `most` rows, however many tasks there are.
     """
     step = F.floor(F.log2("c") * 16)
-    above, wanted = 0, F.lit(False)
+    above, whole, share = 0, None, None
     for s, n in sorted(map(tuple, counts.groupBy(step).count().collect()), reverse=True):
         if above + n > most:
-            cell = F.pmod(F.xxhash64("token"), F.lit(1 << 40))
-            wanted |= (step == s) & (cell < int((1 << 40) * (most - above) / n))
+            share = s, int((1 << 40) * (most - above) / n)
             break
-        above += n
-        wanted |= step == s
-    got = sorted(((-r.c, r.token) for r in counts.filter(wanted).collect()))
+        above, whole = above + n, s
+    wanted = F.lit(False) if whole is None else step >= whole
+    if share:
+        wanted |= (step == share[0]) & (F.pmod(F.xxhash64("token"), F.lit(1 << 40)) < share[1])
+    got = sorted((-r.c, r.token) for r in counts.filter(wanted).collect())
     return [(t.encode("utf-8", "surrogatepass"), -c) for c, t in got]
 
 
