@@ -54,7 +54,7 @@ class Shape:
     noise: int = 32
     leaf_noise: int = 8
     batch: int = 8192
-    rate: float = 0.1
+    rate: float = 0.2
     shard: int = 2_000_000
     common: int = 131_072
 
