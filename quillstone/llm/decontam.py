@@ -26,8 +26,8 @@ COMMON = (
     "|al|como|cómo|con|cuál|cuando|cuándo|cuánto|cuántos|del|donde|dónde|el|ella|ellos|ese|esta|este|hay|las|lo|los|para|pero|por|qué|quién|se|sin|su|una|uno|y"
 )
 #: A capitalised word that starts there and is not a common one.
-NAMED = rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}])(?<!\p{{L}}['’-])(?!(?iu:{COMMON})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}+"
-MEASURED = rf"(\p{{Nd}} )({UNITS})([\s.,;:!?]|$)"
+NAMED = rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}\p{{Nd}}])(?<!\p{{L}}['’-])(?!(?iu:{COMMON})(?![\p{{L}}\p{{M}}]))\p{{Lu}}\p{{Ll}}+"
+MEASURED = rf"(\p{{Nd}}\s+)({UNITS})([\s.,;:!?]|$)"
 DROPPED = rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NAME}{UNIT}\s]+"
 NUMBER = r"(^|\s)[^\s\p{Nd}]*\p{Nd}\S*"
 SLOT = rf"([{NAME}{UNIT}])\S+"
@@ -35,9 +35,9 @@ SLOT = rf"([{NAME}{UNIT}])\S+"
 
 def words_of(text: Column) -> Column:
     """Lower-case words without punctuation; names and units carry a marker in front."""
-    t = F.translate(F.coalesce(text, F.lit("")), NAME + UNIT + NUM, "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), NAMED, f"{NAME}$0")
-    t = F.regexp_replace(t, MEASURED, f"$1{UNIT}$2$3")
+    t = F.coalesce(text, F.lit(""))
+    t = F.when(t.rlike(f"[{NAME}{UNIT}{NUM}]"), F.translate(t, NAME + UNIT + NUM, "")).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(t, NAMED, f"{NAME}$0"), MEASURED, f"$1{UNIT}$2$3")
     return F.lower(F.regexp_replace(t, DROPPED, ""))
 
 
@@ -47,20 +47,25 @@ def template_of(words: Column) -> Column:
 
 
 def _split(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
-def _windows(words: Column, k: int) -> Column:
-    """Hashes of all k-word windows; a shorter text is one window."""
-    n = F.size(words)
-    full = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
-    return F.when(n >= k, full).when(n > 0, F.array(F.xxhash64(F.array_join(words, " "), n))).otherwise(F.array().cast("array<bigint>"))
+def _windows(rows: DataFrame, keep: list[str], sizes: list[tuple[str, str, Column]], k: int) -> DataFrame:
+    """(keep..., kind, at, h, w1..wk): the windows of word arrays, one row each.
 
-
-def _runs(words: Column, n: int) -> Column:
-    """Hashes of all runs of n words, equal to _windows' hash of a text of just those words where that is short."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " "), F.lit(n)))
-    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+    sizes: (kind, array column, words in a window). Neighbouring words are zipped and exploded, so
+    hashing runs in generated code and no array travels with the rows. A window of fewer than k
+    words has null words at its end; arrays shorter than the window have none.
+    """
+    runs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("w"), n.cast("int").alias("n")) for kind, c, n in sizes])
+    rows = rows.select(*keep, F.explode(runs).alias("r")).select(*keep, "r.kind", F.col("r.w").alias("w"), F.col("r.n").alias("n"))
+    many = F.greatest(F.size("w") - F.col("n") + 1, F.lit(0))
+    none = F.array().cast("array<string>")
+    parts = [F.when((F.col("n") > i) & (many > 0), F.slice("w", i + 1, many)).otherwise(none) for i in range(k)]
+    cut = F.arrays_zip(*[p.alias(f"w{i + 1}") for i, p in enumerate(parts)])
+    # outer: else a test of the arrays' size repeats all the work above
+    z = rows.select(*keep, "kind", F.posexplode_outer(cut).alias("at", "z")).select(*keep, "kind", "at", *[F.col("z")[f"w{i + 1}"].alias(f"w{i + 1}") for i in range(k)])
+    return z.withColumn("h", F.when(F.col("w1").isNotNull(), F.xxhash64("kind", *[f"w{i + 1}" for i in range(k)])))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, key: str, text: str = "text", item: str = "item_id", item_text: str = "text", k: int = 5, share: float = 0.8) -> DataFrame:
@@ -74,22 +79,22 @@ def find(docs: DataFrame, benchmark: DataFrame, *, key: str, text: str = "text",
     words are found anywhere, its template (which says too little) only as a whole document.
     Empty tables: no pairs. Which side of the window join is broadcast is left to Spark's size check.
     """
-    plain = lambda w: _split(F.translate(w, NAME + UNIT, ""))
+    plain = lambda w: _split(F.regexp_replace(w, f"[{NAME}{UNIT}]", ""))
+    least = lambda c: F.least(F.lit(k), F.size(c))
     b = benchmark.select(F.col(item).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("_w"))
     b = b.select("item_id", _split(F.col("_w")).alias("w"), _split(template_of(F.col("_w"))).alias("t"), plain(F.col("_w")).alias("p")).filter(F.size("t") > 0)
     short = sorted(r.n for r in b.filter(F.size("t") < k).select(F.size("t").alias("n")).distinct().collect())  # less than k numbers
     literal = lambda ws: F.exists(ws, lambda w: ~w.isin(NAME, UNIT, NUM))
     starts = F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0)))
-    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), _windows(F.col(c), k).alias("hs")) for c in ("t", "p")])
-    bw = b.select("item_id", "t", F.explode_outer(kinds).alias("x")).select("item_id", "t", "x.kind", F.posexplode_outer("x.hs").alias("at", "h"))
+    bw = _windows(b, ["item_id", "t"], [("t", "t", least("t")), ("p", "p", least("p"))], k)
     bw = bw.filter(literal(F.slice("t", F.col("at") + 1, k))).select("item_id", "kind", "h").distinct()
     items = bw.groupBy("item_id", "kind").agg(F.count(F.lit(1)).alias("windows"))
-    bw = materialize(bw.join(items, ["item_id", "kind"]), "decontam-items")
+    bw = materialize(bw.join(items, ["item_id", "kind"]).select("h", "item_id", F.col("kind").alias("of"), "windows"), "decontam-items")
 
     dw = docs.select(key, words_of(F.col(text)).alias("_w")).select(key, _split(template_of(F.col("_w"))).alias("_t"), plain(F.col("_w")).alias("_p"))
-    dw = dw.select(key, F.array_distinct(F.concat(_windows(F.col("_t"), k), _windows(F.col("_p"), k), *[_runs(F.col("_p"), n) for n in short])).alias("h"))
-    dw = dw.select(key, F.explode_outer("h").alias("h"))  # outer: else a size test repeats the work below
-    hits = dw.join(bw, "h").groupBy(key, "item_id", "kind").agg(F.count(F.lit(1)).alias("matched"), F.first("windows").alias("windows"))
+    sizes = [("t", "_t", least("_t")), ("p", "_p", least("_p")), *[("p", "_p", F.when(F.size("_p") > n, F.lit(n)).otherwise(F.lit(k + 1))) for n in short]]
+    hits = _windows(dw, [key], sizes, k).select(key, "h").join(bw, "h").select(key, "item_id", F.col("of").alias("kind"), "windows", "h").distinct()
+    hits = hits.groupBy(key, "item_id", "kind").agg(F.count(F.lit(1)).alias("matched"), F.first("windows").alias("windows"))
     told = materialize(hits.filter(F.col("matched") >= share * F.col("windows")), "decontam-hits")
     best = F.max(F.struct(F.col("matched") / F.col("windows"), "matched", "windows")).alias("m")
     hits = told.groupBy(key, "item_id").agg(best).select(key, "item_id", "m.matched", "m.windows")
