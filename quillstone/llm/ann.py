@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from .scratch import materialize
 
 QUERY_BLOCK, ROW_BLOCK, GROUP = 1024, 4096, 65536
+HELD = 16  # query blocks whose heaps a task keeps; the heaps of a block beyond are sent on and merged by rank later
 
 
 def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -32,6 +34,14 @@ def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return codes, scale, (stand**2).sum(axis=1), np.sqrt(((x - stand) ** 2).sum(axis=1))
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows; components are added in order, as a plain loop does."""
+    total = np.zeros(len(x))
+    for a, b in zip(x.T, y.T, strict=True):
+        total += (a - b) ** 2
+    return np.sqrt(total)
+
+
 class Heaps:
     """The k nearest rows of each query of a block."""
 
@@ -54,7 +64,7 @@ class Heaps:
         rows, cols = np.nonzero((near - slack <= np.minimum(kth, worst)[:, None]) & (self.ids[:, None] != ids[None, :]))
         for i in range(0, len(rows), 65536):
             r, c = rows[i : i + 65536], cols[i : i + 65536]
-            exact = np.sqrt(((self.x[r] - y[c]) ** 2).sum(axis=1))
+            exact = _distances(self.x[r], y[c])
             for q, d, v in zip(r.tolist(), exact.tolist(), ids[c].tolist(), strict=True):
                 h = self.heaps[q]
                 if len(h) < self.k:
@@ -78,40 +88,49 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, *, vec_id: str = "vec
     """(query_id, rank, vec_id, score): each query's k nearest rows by Euclidean distance.
 
     Queries are the rows for which is_query holds; candidates are all rows with another vec_id.
-    Ties: smaller vec_id first. Unusable vectors and rows without vec_id take no part, nor do
-    vectors of another length than the one with the least vec_id. A repeated vec_id is one query
-    but as many candidates as it has rows. Fewer candidates than k: all. Empty table: no rows.
+    Ties: smaller vec_id first. Unusable vectors and rows without vec_id take no part. Vectors are
+    compared with those of their own length only. A repeated vec_id is one query, by its least
+    vector, but as many candidates as it has rows. Very long vectors only make blocks larger.
+    Fewer candidates than k: all. Empty table: no rows. Other columns are ignored.
     """
     ids = F.col(vec_id).cast("long")
     good = rows.filter(usable(F.col(vector)) & ids.isNotNull()).select(ids.alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("_r"))
-    good = materialize(good, "ann-rows")
-    head = good.agg(F.count(F.lit(1)), F.count_if("q"), F.min_by(F.size("v"), "vec_id")).first()
-    total, n_queries, dim = head[0], head[1], head[2]
+    good = materialize(good.withColumn("d", F.size("v")), "ann-rows")
+    total, n_queries = good.agg(F.count(F.lit(1)), F.count_if("q")).first()
     spark = rows.sparkSession
     if not total or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = good.filter(F.size("v") == dim)
     spread = max(-(-total // GROUP), int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = max(1, math.ceil(total / spread / ROW_BLOCK))
     cell = F.xxhash64("_r")
     packed = good.withColumn("g", F.pmod(cell, F.lit(spread))).withColumn("j", F.pmod(F.shiftright(cell, 32), F.lit(blocks)))
-    packed = packed.groupBy("g", "j").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
-    asked = good.filter("q").dropDuplicates(["vec_id"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(math.ceil(n_queries / QUERY_BLOCK))))
-    asked = asked.groupBy("b").agg(F.collect_list("vec_id").alias("qids"), F.flatten(F.collect_list("v")).alias("qs"))
+    packed = packed.groupBy("d", "g", "j").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+    asked = good.filter("q").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
+    asked = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(math.ceil(n_queries / QUERY_BLOCK))))
+    asked = asked.groupBy("d", "b").agg(F.collect_list("vec_id").alias("qids"), F.flatten(F.collect_list("v")).alias("qs"))
     grid = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    pairs = packed.join(grid, "g").select("b", "qids", "qs", "ids", "vs")
+    pairs = packed.join(grid, ["d", "g"]).select("d", "b", "qids", "qs", "ids", "vs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Heaps] = {}
+        held: OrderedDict[tuple[int, int], Heaps] = OrderedDict()
         flat = lambda x, kind: x.values.to_numpy(zero_copy_only=False).astype(kind)
+
+        def told(h: Heaps) -> Iterator[pa.RecordBatch]:
+            out = list(h.rows())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for b, qids, qs, i, v in zip(*batch.columns, strict=True):
-                if b.as_py() not in held:
-                    held[b.as_py()] = Heaps(flat(qids, np.int64), flat(qs, np.float64).reshape(-1, dim), k)
-                held[b.as_py()].add(flat(i, np.int64), flat(v, np.float64).reshape(-1, dim))
-        out = [r for h in held.values() for r in h.rows()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+            for d, b, qids, qs, i, v in zip(*batch.columns, strict=True):
+                at, dim = (d.as_py(), b.as_py()), d.as_py()
+                if at not in held:
+                    held[at] = Heaps(flat(qids, np.int64), flat(qs, np.float64).reshape(-1, dim), k)
+                    if len(held) > HELD:
+                        yield from told(held.popitem(last=False)[1])
+                held.move_to_end(at)
+                held[at].add(flat(i, np.int64), flat(v, np.float64).reshape(-1, dim))
+        for h in held.values():
+            yield from told(h)
 
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")

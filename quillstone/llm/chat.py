@@ -1,9 +1,11 @@
 """Conversations in reply order, with quoted passages linked to the messages that said them.
 
 Nested quote levels are parsed, quoted passages are normalised, hashed and joined with the
-passages that messages say themselves; the first message to say a passage is its original. A
-message answers the original of its outermost linked quote (the latest, if several), else the
-message before it. Threads follow from the answers, and quotes are cut out of the text.
+passages that messages say themselves. The original of a quote is the first message of its own
+conversation that says the passage; a passage from elsewhere links only if it is long and a single
+conversation says it, since short or common words tell nothing. A message answers the original of
+its outermost linked quote (the latest, if several), else the message before it. Threads follow
+from the answers, and quotes are cut out of the text.
 """
 
 from __future__ import annotations
@@ -15,20 +17,25 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .scratch import discard, materialize
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
-_SAID = re.compile(r".{0,300}\b(wrote|schrieb|a écrit|escribió)\b.{0,100}:\s*", re.I)
+_SAID = re.compile(r"\b(?:wrote|schrieb|a écrit|escribió)\b", re.I)
+FAR = 8  # words from which a passage may be quoted from another conversation
 
 
 def _hash(passage: str) -> str:
     return hashlib.md5(" ".join(passage.lower().split()).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
-    """The text without quotes, hashes of its own passages, and (level, hash) of each quoted one.
+def _announces(line: str) -> bool:
+    """Whether a line names whom the quote behind it is from: it holds a verb of saying and ends with a colon."""
+    return line.rstrip().endswith(":") and _SAID.search(line) is not None
+
+
+def parse(text: str | None) -> tuple[str, list[tuple[str, bool]], list[tuple[int, str]]]:
+    """The text without quotes, (hash, long?) of its own passages, and (level, hash) of each quoted one.
 
     A passage is a run of lines of one level without blank lines between. The line that names
     whom a quote is from goes with the quote.
@@ -42,14 +49,14 @@ def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
         else:
             if level and blocks and not blocks[-1][0]:
                 said = [i for i, x in enumerate(blocks[-1][1]) if x.strip()][-1:]
-                if said and _SAID.fullmatch(blocks[-1][1][said[0]]):
+                if said and _announces(blocks[-1][1][said[0]]):
                     del blocks[-1][1][said[0] :]
             blocks.append((level, [rest]))
     own, quoted = [], []
     for level, lines in blocks:
         for passage in re.split(r"\n\s*\n", "\n".join(lines)):
             if passage.strip():
-                (quoted.append((level, _hash(passage))) if level else own.append(_hash(passage)))
+                (quoted.append((level, _hash(passage))) if level else own.append((_hash(passage), len(passage.split()) >= FAR)))
     said = "\n".join("\n".join(lines) for level, lines in blocks if not level)
     return said.strip() if quoted else said, list(dict.fromkeys(own)), list(dict.fromkeys(quoted))
 
@@ -95,47 +102,49 @@ def threads(messages: DataFrame, *, conversation: str = "conv_id", turn: str = "
     Columns: conv_id, turn, role, parent_conv_id, parent_turn (null at a thread's start),
     thread_conv_id, thread_turn, depth, position (0.. in its thread: by depth, then order),
     n_quotes, n_linked, max_level, text (quotes cut out).
-    A quote links to the first message of its own conversation that says it, else to the first of
-    all, provided that comes before; unlinked quotes are cut too. Null conversations are one
-    conversation, null turns come first, equal turns and repeated rows follow one another. Null
-    text: no passages, empty text. Empty table: no rows. Other columns are ignored.
+    A quote links to the first message of its own conversation that says it, else, from FAR words
+    on, to the first of the one conversation that says it, provided that comes before; unlinked
+    quotes are cut too. Null conversations are one conversation, null turns come first, equal turns
+    and repeated rows follow one another. Null text: no passages, empty text. Very long texts are
+    parsed line by line. Empty table: no rows. Other columns are ignored, whatever their names.
     """
-    rows = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_r"))
-    rows = numbered(materialize(rows, "chat-rows"), ["conv_id", "turn", "_r"], "rn").drop("_r")
-    quote = T.StructType().add("level", "integer").add("hash", "string")
-    schema = T.StructType(list(rows.schema.fields)).add("max_level", "integer").add("own", T.ArrayType(T.StringType())).add("quotes", T.ArrayType(quote))
+    kinds = dict(messages.dtypes)
+    rows = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    schema = f"conv_id {kinds[conversation]}, turn {kinds[turn]}, role {kinds[role]}, text string, max_level int, own array<struct<hash:string,far:boolean>>, quotes array<struct<level:int,hash:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_kind, quote_kind = pa.struct([("hash", pa.string()), ("far", pa.bool_())]), pa.struct([("level", pa.int32()), ("hash", pa.string())])
         for b in batches:
             got = [parse(t) for t in b.column("text").to_pylist()]
-            cols = {f.name: b.column(i) for i, f in enumerate(b.schema)}
-            cols["text"] = pa.array([g[0] for g in got], pa.string())
-            cols["max_level"] = pa.array([max((q[0] for q in g[2]), default=0) for g in got], pa.int32())
-            cols["own"] = pa.array([g[1] for g in got], pa.list_(pa.string()))
-            cols["quotes"] = pa.array([[{"level": x, "hash": h} for x, h in g[2]] for g in got], pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string())])))
-            yield pa.RecordBatch.from_arrays([cols[n] for n in schema.names], names=schema.names)
-
-    told = materialize(rows.mapInArrow(run, schema), "chat-parsed")
-    asked = told.select("conv_id", "rn", F.explode("quotes").alias("q")).select("conv_id", "rn", "q.level", "q.hash")
-    said = told.select("conv_id", "rn", F.explode("own").alias("hash")).join(asked.select("hash").distinct(), "hash", "left_semi")
-    here = said.groupBy("hash", "conv_id").agg(F.min("rn").alias("here"))
-    ever = here.groupBy("hash").agg(F.min("here").alias("ever"))
-    here = here.withColumnRenamed("hash", "_h").withColumnRenamed("conv_id", "_c")
-    linked = asked.join(here, (asked.hash == here["_h"]) & asked.conv_id.eqNullSafe(here["_c"]), "left").join(ever, "hash", "left")
-    linked = linked.withColumn("orig", F.when(F.col("here") < F.col("rn"), F.col("here")).when(F.col("ever") < F.col("rn"), F.col("ever")))
-    links = linked.groupBy("rn").agg(F.count("orig").alias("n_linked"), F.max(F.when(F.col("orig").isNotNull(), F.struct((-F.col("level")).alias("l"), "orig")))["orig"].alias("orig"))
-    links = materialize(links, "chat-links")
-
-    starts = told.groupBy("conv_id").agg(F.min("rn").alias("start")).select(F.col("start"), F.lit(1).alias("first"))
-    base = told.join(links, "rn", "left").join(starts, told.rn == starts.start, "left")
-    base = base.withColumn("parent", F.coalesce("orig", F.when(F.col("first").isNull(), F.col("rn") - 1))).withColumn("n_quotes", F.size("quotes").cast("long"))
-    base = materialize(base.select("rn", "conv_id", "turn", "role", "text", "max_level", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "parent"), "chat-parents")
-    places = reached(base.select(F.col("rn").alias("node"), "parent"))
-    order = materialize(numbered(places, ["root", "depth", "node"], "at"), "chat-order")
+            out = [b.column("conv_id"), b.column("turn"), b.column("role"), pa.array([g[0] for g in got], pa.string()), pa.array([max((q[0] for q in g[2]), default=0) for g in got], pa.int32())]
+            out.append(pa.array([[{"hash": h, "far": x} for h, x in g[1]] for g in got], pa.list_(own_kind)))
+            out.append(pa.array([[{"level": x, "hash": h} for x, h in g[2]] for g in got], pa.list_(quote_kind)))
+            yield pa.RecordBatch.from_arrays(out, names=["conv_id", "turn", "role", "text", "max_level", "own", "quotes"])
+
+    # texts stay in this table; ordering and linking work on keys and hashes alone
+    told = materialize(rows.mapInArrow(run, schema).withColumn("_r", F.monotonically_increasing_id()), "chat-parsed")
+    keys = materialize(numbered(told.select("conv_id", "turn", "_r"), ["conv_id", "turn", "_r"], "rn"), "chat-keys")
+    asked = told.filter(F.size("quotes") > 0).select("_r", F.explode("quotes").alias("q")).join(keys, "_r").select("conv_id", "rn", "q.level", "q.hash")
+    asked = materialize(asked, "chat-asked")
+    links = None
+    if not asked.isEmpty():
+        said = told.select("_r", F.explode("own").alias("o")).select("_r", "o.hash", "o.far").join(asked.select("hash").distinct(), "hash", "left_semi").join(keys, "_r")
+        here = materialize(said.groupBy("hash", "conv_id").agg(F.min("rn").alias("here"), F.bool_or("far").alias("far")), "chat-said")
+        ever = here.groupBy("hash").agg(F.min("here").alias("ever"), F.bool_and("far").alias("far"), F.count(F.lit(1)).alias("n")).filter("far AND n = 1").select("hash", "ever")
+        here = here.select(F.col("hash").alias("_h"), F.col("conv_id").alias("_c"), "here")
+        linked = asked.join(here, (asked.hash == here["_h"]) & asked.conv_id.eqNullSafe(here["_c"]), "left").join(ever, "hash", "left")
+        linked = linked.withColumn("orig", F.when(F.col("here").isNotNull(), F.when(F.col("here") < F.col("rn"), F.col("here"))).when(F.col("ever") < F.col("rn"), F.col("ever")))
+        links = linked.groupBy("rn").agg(F.count("orig").alias("n_linked"), F.max(F.when(F.col("orig").isNotNull(), F.struct((-F.col("level")).alias("l"), "orig")))["orig"].alias("orig"))
+    starts = keys.groupBy("conv_id").agg(F.min("rn").alias("rn")).select("rn", F.lit(True).alias("first"))
+    base = keys.join(starts, "rn", "left")
+    base = base.withColumns({"n_linked": F.lit(0).cast("long"), "orig": F.lit(None).cast("long")}) if links is None else base.join(materialize(links, "chat-links"), "rn", "left")
+    parent = F.coalesce("orig", F.when(F.col("first").isNull(), F.col("rn") - 1))
+    base = materialize(base.select("rn", "_r", "conv_id", "turn", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), parent.alias("parent")), "chat-parents")
+    order = materialize(numbered(reached(base.select(F.col("rn").alias("node"), "parent")), ["root", "depth", "node"], "at"), "chat-order")
     opening = order.groupBy("root").agg(F.min("at").alias("opens"))
     order = order.join(opening, "root").select(F.col("node").alias("rn"), "root", "depth", (F.col("at") - F.col("opens")).alias("position"))
     of = base.select("rn", F.col("conv_id").alias("c"), F.col("turn").alias("t"))
-    out = base.join(order, "rn").join(of.select(F.col("rn").alias("parent"), F.col("c").alias("parent_conv_id"), F.col("t").alias("parent_turn")), "parent", "left")
-    out = out.join(of.select(F.col("rn").alias("root"), F.col("c").alias("thread_conv_id"), F.col("t").alias("thread_turn")), "root")
-    discard(rows)
-    return out.select("conv_id", "turn", "role", "parent_conv_id", "parent_turn", "thread_conv_id", "thread_turn", "depth", "position", "n_quotes", "n_linked", "max_level", "text")
+    out = base.drop("conv_id", "turn").join(order, "rn").join(of.select(F.col("rn").alias("parent"), F.col("c").alias("parent_conv_id"), F.col("t").alias("parent_turn")), "parent", "left")
+    out = materialize(out.join(of.select(F.col("rn").alias("root"), F.col("c").alias("thread_conv_id"), F.col("t").alias("thread_turn")), "root").drop("rn", "parent", "root"), "chat-places")
+    discard(keys, asked, base, order)
+    return told.join(out, "_r").select("conv_id", "turn", "role", "parent_conv_id", "parent_turn", "thread_conv_id", "thread_turn", "depth", "position", F.size("quotes").cast("long").alias("n_quotes"), "n_linked", "max_level", "text")

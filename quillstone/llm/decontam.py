@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import fresh, materialize
 
 NAME, UNIT, NUM = "\ue002", "\ue003", "\ue004"
 #: Units that count as such after a number.
@@ -154,8 +154,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no item, with docs' own columns. Rows with null text stay."""
+    """The rows of docs that hold no item, with docs' own columns. Rows with null text stay; so do other columns, whatever their names."""
+    (key,) = fresh(docs, "key")
     digest = F.xxhash64(F.col(text), F.length(F.col(text)))
     rows = docs.select(digest.alias("_key"), F.col(text).alias("text"))
-    held = materialize(find(rows, benchmark, key="_key", text="text", **options).select("_key").distinct(), "decontam-held")
-    return docs.withColumn("_key", digest).join(held, "_key", "left_anti").drop("_key")
+    held = materialize(find(rows, benchmark, key="_key", text="text", **options).select(F.col("_key").alias(key)).distinct(), "decontam-held")
+    return docs.withColumn(key, digest).join(held, key, "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .scratch import materialize
+from .scratch import fresh, materialize
 
 BLANK = 32
 _LETTERS: np.ndarray | None = None
@@ -155,18 +155,19 @@ def identify(docs: DataFrame, train: DataFrame, *, text: str = "text", lang: str
     known = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     rows = profiles(known, top)
     shared = spark.sparkContext.broadcast(rows)
-    cols = docs.select(*keep, F.col(text).alias("_text"))
-    schema = cols.drop("_text").schema.add(named[0], "string").add(named[1], "double")
+    (own,) = fresh(docs.select(*keep), "text")
+    cols = docs.select(*keep, F.col(text).alias(own))
+    schema = cols.drop(own).schema.add(named[0], "string").add(named[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(shared.value, top)
         for b in batches:
             names, scores = [], []
-            for _, _, texts in _slices(b.column("_text")):
+            for _, _, texts in _slices(b.column(own)):
                 x, y = ranker.predict(texts)
                 names += x
                 scores += y
-            others = [i for i, f in enumerate(b.schema) if f.name != "_text"]
+            others = [i for i, f in enumerate(b.schema) if f.name != own]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in others], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return cols.mapInArrow(run, schema)

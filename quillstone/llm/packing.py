@@ -8,6 +8,7 @@ out as often as the counts allow. Spark does the rest: tokens, counts, ranks and
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
@@ -39,12 +40,30 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def merges_in_order(spec: dict) -> bool:
+    """Whether a tokenizers file is plain byte-level BPE whose ids follow its merges.
+
+    Then merging by rank of id is the same as merging by its list: no normalizer, the usual cut
+    without an added blank, every byte a token, none of BPE's options, and merge i makes the i-th
+    of the tokens that merges make.
+    """
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True) and not spec.get("normalizer")
+    options = [model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")]
+    if not plain or model.get("type") != "BPE" or any(options) or not byte_of().keys() <= model["vocab"].keys():
+        return False
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    ids = [model["vocab"].get(t, -1) for t in made]
+    top = max(model["vocab"][c] for c in byte_of())
+    return len(model["vocab"]) == len(ids) + 256 and all(x < y for x, y in zip([top, *ids], ids, strict=False))
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, by a tokenizers file.
 
-    The file's vocabulary also drives a faster byte-pair encoder, which makes the same ids where
-    ids follow the order of merges. That is tested on the first texts of each task; if it fails,
-    and for texts that hold a special token's string, the tokenizers library itself encodes.
+    Where the file's structure allows (merges_in_order), its vocabulary drives a faster byte-pair
+    encoder, which makes the same ids; otherwise, and for texts that hold a special token's
+    string, the tokenizers library itself encodes.
     """
 
     def __init__(self, path: str):
@@ -52,22 +71,19 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, at = Tokenizer.from_file(path), byte_of()
+        self.tokenizer, self.fast = Tokenizer.from_file(path), None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = {t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special and all(c in at for c in t)}
-        ranks = {bytes(at[c] for c in t): i for t, i in vocabulary.items()}
-        self.fast = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={}) if len(ranks) >= 256 else None
-        self.tested = False
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if merges_in_order(spec):
+            at = byte_of()
+            ranks = {bytes(at[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
+            self.fast = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.fast and not self.tested:
-            some = [t[:2000] for t in texts[:50] if not any(s in t for s in self.special)]
-            self.tested = bool(some)
-            if any(self.ids(t) != self.fast.encode_ordinary(t) for t in some):
-                self.fast = None
         slow = lambda t: not self.fast or any(s in t for s in self.special)
         return [np.array(self.ids(t) if slow(t) else self.fast.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
 
@@ -176,18 +192,19 @@ def pack(cut: DataFrame, key: list[str], size: int = 1024) -> DataFrame:
     sqrt(rows) rows, so a length that many share is not ranked by one task. The driver sees the
     histogram of lengths (`size` rows at most) and plans from it. Empty input: no rows.
     """
-    cut = materialize(cut, "pack-pieces")
+    cut = materialize(cut.withColumn("_m", F.monotonically_increasing_id()), "pack-pieces")
     spark = cut.sparkSession
     tally = {r.length: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = spark.sparkContext.broadcast(_places(minimum_bin_slack(tally, size), size))
     salts = max(1, math.isqrt(sum(tally.values())))
-    cell = W.partitionBy("length", "salt").orderBy(*key)
-    ranked = cut.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(salts))).withColumn("_i", F.row_number().over(cell) - 1)
+    cell = W.partitionBy("length", "salt").orderBy(*key, "_m")
+    # the row's own number takes part, so that repeated or null keys are dealt too
+    ranked = cut.withColumn("salt", F.pmod(F.xxhash64(*key, "_m"), F.lit(salts))).withColumn("_i", F.row_number().over(cell) - 1)
     ranked = materialize(ranked, "pack-ranked")
     parts = ranked.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_skip"))
-    placed = ranked.join(materialize(parts, "pack-parts"), ["length", "salt"]).withColumn("_rank", F.col("_i") + F.col("_skip")).drop("salt", "_i", "_skip")
+    placed = ranked.join(materialize(parts, "pack-parts"), ["length", "salt"]).withColumn("_rank", F.col("_i") + F.col("_skip")).drop("salt", "_i", "_skip", "_m")
     schema = placed.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import fresh
+
 PASSAGE, HASHED, MARKS = 64, 128, 24
 CLASSES = 8  # of bytes: white space, lower, upper, digit, mark of a sentence, other ASCII, first and later bytes of longer characters
 N_FEATURES = CLASSES * CLASSES + HASHED + 6 + MARKS
@@ -121,6 +123,18 @@ class GatedAttention:
         s = 1 / (1 + np.exp(-(z @ p["c"] + p["c0"]).clip(-30, 30)))
         return {"h": h, "a1": a1, "a2": a2, "a": a, "z": z, "s": s, "first": first, "count": count}
 
+    def gradient(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the documents' mean log loss; bag numbers the documents from 0 in order."""
+        f, p = self.forward(x, bag), self.p
+        d = ((f["s"] - y) / len(y)).astype(p["W"].dtype)
+        dz = (d[:, None] * p["c"])[bag]
+        da = (f["h"] * dz).sum(axis=1)
+        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["first"]), f["count"]))
+        dg = de[:, None] * p["w"]
+        d1, d2 = dg * f["a2"] * (1 - f["a1"] ** 2), dg * f["a1"] * f["a2"] * (1 - f["a2"])
+        dh = (f["a"][:, None] * dz + d1 @ p["V"].T + d2 @ p["U"].T) * (1 - f["h"] ** 2)
+        return {"W": ((x - self.mean) / self.sd).clip(-6, 6).T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ d1, "U": f["h"].T @ d2, "w": (f["a1"] * f["a2"]).T @ de, "c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
+
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 3e-3, decay: float = 1e-4) -> None:
         self.mean, self.sd = x.mean(axis=0), x.std(axis=0) + 0.05
         first = np.flatnonzero(np.concatenate([[True], bag[1:] != bag[:-1]]))
@@ -132,15 +146,7 @@ class GatedAttention:
                 some = order[i : i + batch]
                 rows = np.concatenate([np.arange(edges[j], edges[j + 1]) for j in some])
                 xs, bs = x[rows], np.repeat(np.arange(len(some)), edges[some + 1] - edges[some])
-                f = self.forward(xs, bs)
-                d = ((f["s"] - y[some]) / len(some)).astype(np.float32)
-                dz = (d[:, None] * p["c"])[bs]
-                da = (f["h"] * dz).sum(axis=1)
-                de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["first"]), f["count"]))
-                dg = de[:, None] * p["w"]
-                d1, d2 = dg * f["a2"] * (1 - f["a1"] ** 2), dg * f["a1"] * f["a2"] * (1 - f["a2"])
-                dh = (f["a"][:, None] * dz + d1 @ p["V"].T + d2 @ p["U"].T) * (1 - f["h"] ** 2)
-                g = {"W": ((xs - self.mean) / self.sd).clip(-6, 6).T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ d1, "U": f["h"].T @ d2, "w": (f["a1"] * f["a2"]).T @ de, "c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
+                g = self.gradient(xs, bs, y[some])
                 t += 1
                 for k, q in p.items():
                     grad = g[k] + decay * q
@@ -162,24 +168,23 @@ def _runs(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
         i = j
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, sample: int, passages: int) -> GatedAttention | float:
-    """A model fitted on at most `sample` labelled documents, chosen by hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label: str, sample: int) -> GatedAttention | float:
+    """A model fitted on at most `sample` labelled documents, chosen by hash of doc_id, each by all its passages.
 
-    A document longer than `passages` passages teaches by so many of them, evenly spaced; scoring
-    always takes all. Without both labels there is nothing to learn: the labels' mean (or 0.5).
+    Of several rows with one doc_id, the one whose text has the least hash teaches. Without both
+    labels there is nothing to learn: the labels' mean (or 0.5).
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.round(F.avg(label)).cast("float").alias("y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` rows, so it can be sent to all
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "y", "text")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id").select("_id", "y", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, y, t in zip(b.column("_id").to_pylist(), b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for i, y, h, t in zip(*(b.column(c).to_pylist() for c in ("_id", "y", "h", "text")), strict=True):
                 x, _ = describe([t or ""])
-                x = x[np.unique(np.linspace(0, len(x) - 1, min(passages, len(x))).astype(int))]
-                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "y": pa.array([y], pa.float32()), "x": [x.astype(np.float16).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "y": pa.array([y], pa.float32()), "h": pa.array([h], pa.int64()), "x": [x.astype(np.float16).tobytes()]})
 
-    got = rows.mapInArrow(run, "i long, y float, x binary").dropDuplicates(["i"]).orderBy(F.xxhash64("i")).collect()
+    got = rows.mapInArrow(run, "i long, y float, h long, x binary").groupBy("i").agg(F.min_by(F.struct("y", "x"), "h").alias("r")).select("i", "r.y", "r.x").orderBy(F.xxhash64("i")).collect()
     y = np.array([r.y for r in got], dtype=np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -189,24 +194,27 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, label:
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, keep: list[str | Column], doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, sample: int = 2000, passages: int = 32) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, keep: list[str | Column], doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, sample: int = 2000) -> DataFrame:
     """docs' keep columns, score (0 to 1) and predicted (1 if score >= threshold).
 
     labels: rows (doc_id, label) to learn from; only labels 0 and 1 count, repeated rows of a
-    doc_id are averaged. Null and empty texts are one passage without words. Empty docs: no rows.
+    doc_id are averaged. Null and empty texts are one passage without words; very long texts are
+    described in full, in runs of about a million characters. Equal texts have equal scores.
+    Other columns, whatever their names, are ignored. Empty docs: no rows.
     """
-    model = train(docs, labels, doc_id=doc_id, text=text, label=label, sample=sample, passages=passages)
+    model = train(docs, labels, doc_id=doc_id, text=text, label=label, sample=sample)
     shared = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, float) else model.weights())
-    cols = docs.select(*keep, F.col(text).alias("_text"))
-    schema = cols.drop("_text").schema.add("score", "double").add("predicted", "integer")
+    (own,) = fresh(docs.select(*keep), "text")
+    cols = docs.select(*keep, F.col(text).alias(own))
+    schema = cols.drop(own).schema.add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column("_text").to_pylist()]
+            texts = [t or "" for t in b.column(own).to_pylist()]
             m = shared.value if isinstance(shared.value, float) else GatedAttention().load(shared.value)
             s = np.full(len(texts), m) if isinstance(m, float) else np.concatenate([m.score(x) for x in _runs(texts)]) if texts else np.empty(0)
             s = s.astype(np.float64)
-            others = [i for i, f in enumerate(b.schema) if f.name != "_text"]
+            others = [i for i, f in enumerate(b.schema) if f.name != own]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in others], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
     return cols.mapInArrow(run, schema)

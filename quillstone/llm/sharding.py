@@ -103,10 +103,10 @@ def assign(docs: DataFrame, shards: int = 16, *, doc_id: str = "doc_id", text: s
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), digest.alias("g"),
     )
     rows = rows.withColumn("bucket", F.conv(F.substring(F.rpad(F.hex("g"), 3, "0"), 1, 3), 16, 10).cast("int"))
-    rows = materialize(rows, "shard-rows")
+    rows = materialize(rows.withColumn("_m", F.monotonically_increasing_id()), "shard-rows")
     salts = max(1, math.isqrt(rows.count()))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)))
-    rows = rows.withColumn("idx", F.row_number().over(W.partitionBy("bucket", "g", "salt").orderBy("doc_id")) - 1)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "_m"), F.lit(salts)))  # the row's own number deals repeated rows too
+    rows = rows.withColumn("idx", F.row_number().over(W.partitionBy("bucket", "g", "salt").orderBy("doc_id", "_m")) - 1)
     rows = materialize(rows, "shard-numbered")
 
     parts = rows.groupBy("bucket", "g", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))

@@ -167,6 +167,39 @@ def test_quality_learns(spark):
     assert got and sum(r.predicted == r.quality for r in got) / len(got) > 0.93
 
 
+def test_quality_forward_and_gradient():
+    """One document at a time, passage by passage, gives the same scores; fit follows the numeric gradient."""
+    r = np.random.default_rng(8)
+    m = quality.GatedAttention(width=5, gate=3)
+    m.p = {k: x.astype(np.float64) for k, x in m.p.items()}
+    x, bag = r.standard_normal((9, quality.N_FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3])
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def slow(p):
+        out = []
+        for i in range(4):
+            h = [np.tanh(v.clip(-6, 6) @ p["W"] + p["b"]) for v in x[bag == i]]
+            e = np.array([(np.tanh(v @ p["V"]) * sig(v @ p["U"])) @ p["w"] for v in h])
+            a = np.exp(e) / np.exp(e).sum()
+            out.append(float(sig(sum(w * v for w, v in zip(a, h, strict=True)) @ p["c"] + p["c0"])[0]))
+        return np.array(out)
+
+    assert m.forward(x, bag)["s"] == pytest.approx(slow(m.p))
+    y, steps = np.array([1.0, 0.0, 1.0, 0.0]), {}
+    loss = lambda: -np.mean(y * np.log(slow(m.p)) + (1 - y) * np.log(1 - slow(m.p)))
+    for k, q in m.p.items():
+        at = tuple(r.integers(0, n) for n in q.shape)
+        was = q[at]
+        q[at] = was + 1e-6
+        up = loss()
+        q[at] = was - 1e-6
+        steps[k, at] = (up - loss()) / 2e-6
+        q[at] = was
+    got = m.gradient(x, bag, y)
+    for (k, at), g in steps.items():
+        assert got[k][at] == pytest.approx(g, abs=1e-6, rel=1e-4), k
+
+
 def test_quality_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(4, 1), (8, 0), (9, 1), (11, 0), (4, None), (99, 1)], "doc_id long, quality int")
     got = quality.classify(awkward, labels, keep=["doc_id"]).collect()
@@ -386,20 +419,54 @@ def test_language_brute_force(spark, docs, awkward, empty):
     assert all(r.lang_pred == "und" for r in langid.identify(awkward, empty, keep=["doc_id"]).collect())
 
 
+LONG = "a passage of more than eight words that only one of all conversations says"
+
+
 def test_quotations(spark):
     rows = [
-        (1, 0, "u", "Hello there.\n\nSecond para"), (1, 1, "a", "reply one"), (1, 2, "u", "On Monday X wrote:\n> hello   THERE.\nI disagree"), (1, 3, "a", ">> hello there.\n> reply one\nok"),
-        (2, 0, "u", "> Second para\nfrom other"), (2, 1, "a", "> never said\nhm"), (None, None, None, None), (3, 0, "u", ""), (3, 0, "u", ""),
+        (1, 0, "u", "Hello there.\n\nSecond para"), (1, 1, "a", f"reply one\n\n{LONG}"), (1, 2, "u", "On Monday X wrote:\n> hello   THERE.\nI disagree"), (1, 3, "a", ">> hello there.\n> reply one\nok"),
+        (2, 0, "u", f"> {LONG}\nfrom other"), (2, 1, "a", "> never said\nhm"), (None, None, None, None), (3, 0, "u", ""), (3, 0, "u", ""), (4, 0, "u", "ok"), (5, 0, "u", "> ok\nshort and from elsewhere"), (5, 1, "a", "x " * 200 + "wrote:\n> from\ndone"),
     ]
-    got = chat.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat.threads(spark.createDataFrame([(*r, 1, "h") for r in rows], "conv_id long, turn long, role string, text string, rn int, hash string"))
     by = {(r.conv_id, r.turn): r for r in got.collect()}
     link = {k: (r.parent_conv_id, r.parent_turn, r.depth, r.n_linked, r.text) for k, r in by.items()}
     assert got.count() == len(rows) and link[1, 2] == (1, 0, 1, 1, "I disagree") and link[1, 3] == (1, 1, 2, 2, "ok")
-    assert link[2, 0] == (1, 0, 1, 1, "from other") and by[2, 1].thread_conv_id == 1 and link[2, 1][3] == 0
+    assert link[2, 0] == (1, 1, 2, 1, "from other") and by[2, 1].thread_conv_id == 1 and link[2, 1][3] == 0
     assert sorted(r.position for r in by.values() if r.thread_conv_id == 1) == list(range(6)) and by[None, None].depth == 0
+    assert link[5, 0] == (None, None, 0, 0, "short and from elsewhere") and by[5, 0].thread_conv_id == 5 and link[5, 1][4] == "done"
     assert chat.threads(got.select("conv_id", "turn", "role", "text").limit(0)).count() == 0
 
 
+def test_quotations_brute_force(spark):
+    r = random.Random(9)
+    rows, said = [], []
+    for c in range(25):
+        for t in range(r.randint(1, 9)):
+            lines = [" ".join(r.choices("alpha beta gamma delta".split(), k=r.choice((2, 3, 9, 12)))) for _ in range(r.randint(1, 2))]
+            quote = ["> " * level + r.choice(said) for level in r.sample((1, 2), r.randint(0, 2))] if said else []
+            said += lines
+            rows.append((c, t, "u", "\n".join([*quote, "\n\n".join(lines)])))
+    rows.append((99, 0, "u", "z " * 300_000 + "\n> " + said[0]))
+    own, home = defaultdict(list), {}
+    for i, (c, _, _, text) in enumerate(rows):
+        for p in "\n".join(x for x in text.split("\n") if not x.startswith(">")).split("\n\n"):
+            if i not in own[" ".join(p.split())]:
+                own[" ".join(p.split())].append(i)
+    want = {}
+    for i, (c, t, _, text) in enumerate(rows):
+        best = []
+        for level, q in [(x.count(">"), " ".join(x.replace(">", " ").split())) for x in text.split("\n") if x.startswith(">")]:
+            inside = [j for j in own[q] if rows[j][0] == c]
+            orig = inside[0] if inside else own[q][0] if own[q] and len(q.split()) >= 8 and len({rows[j][0] for j in own[q]}) == 1 else None
+            if orig is not None and orig < i:
+                best.append((-level, orig))
+        home[i] = max(best)[1] if best else (i - 1 if t else None)
+        want[c, t] = (len(best), None if home[i] is None else rows[home[i]][:2])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(x.conv_id, x.turn): (x.n_linked, None if x.parent_turn is None else (x.parent_conv_id, x.parent_turn)) for x in chat.threads(df).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 20
+
+
 def test_long_thread(spark):
     got = chat.threads(spark.createDataFrame([(7, i, "u", str(i)) for i in range(300)], "conv_id long, turn long, role string, text string"))
     assert {r.turn: (r.depth, r.position) for r in got.collect()} == {i: (i, i) for i in range(300)}
@@ -412,6 +479,51 @@ def test_queries_run(spark):
         assert df.count() > 0 and len(set(df.columns)) == len(df.columns), name
 
 
+def test_encoder_structure():
+    import json
+
+    with open(packing.public_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.merges_in_order(spec)
+    swapped = spec | {"model": spec["model"] | {"merges": [spec["model"]["merges"][1], spec["model"]["merges"][0], *spec["model"]["merges"][2:]]}}
+    assert not packing.merges_in_order(swapped) and not packing.merges_in_order(spec | {"normalizer": {"type": "NFC"}})
+
+
+def test_ann_lengths_and_repeats(spark):
+    r = random.Random(7)
+    rows = [(0, [9.0])] + [(i, [float(r.randint(-9, 9)) for _ in range(4)]) for i in range(1, 400)] + [(1000 + i, [float(i), 1.0]) for i in range(30)]
+    rows += [(100, [8.0, 8.0, 8.0, 8.0]), (100, [-8.0, 0.0, 1.0, 2.0]), (7, [0.0, 0.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(*x, "clash", 1.5) for x in rows], "vec_id long, embedding array<double>, g string, score double")
+    good = [(i, np.array(v)) for i, v in rows if any(v)]
+    want = {}
+    for q in {i for i, _ in good if i % 100 == 0}:
+        x = np.array(min(v for i, v in rows if i == q))
+        near = sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for i, v in good if i != q and len(v) == len(x))[:10]
+        want |= {(q, n): (i, d) for n, (d, i) in enumerate(near, 1)}
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in ann.search(df, F.col("vec_id") % 100 == 0).collect()}
+    assert got.keys() == want.keys() and len(want) == 40
+    for k, (i, d) in want.items():
+        assert got[k][0] == i and got[k][1] == pytest.approx(d)
+
+
+def test_ann_sql(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{at}/embeddings.parquet'")
+    want = {(q, n): (v, d) for q, n, v, d in con.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLES['op2_ann']})").fetchall()}
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in queries.QUERIES["op2_ann"](spark, at).collect()}
+    assert got == want and want
+
+
+def by_jaccard(texts):
+    """The least doc_id of each text's near-duplicate group, by brute force."""
+    from .test_whole import alike, components
+
+    return components(texts, alike(texts))
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
@@ -421,10 +533,33 @@ def test_pipeline(spark, docs):
         assert out.columns == docs.columns
         kept = out.cache()
     ids = {r.doc_id for r in kept.collect()}
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, ["doc_id"]).collect()}
+    groups = by_jaccard({r.doc_id: r.text for r in docs.collect()})
     held = {r.doc_id for r in decontam.contaminated(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     live = {r.doc_id for r in secret_scan.scan(docs).collect() if r.n_live}
     first = {i for i, c in groups.items() if i == c}
     assert ids <= first - held and first - held - live <= ids
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.collect()} == ids
+
+
+def test_pipeline_awkward(spark, docs):
+    """Null and repeated doc_ids, null and empty texts, repeated rows, clashing columns, empty tables: no crash, columns kept."""
+    import corpus_pipeline
+
+    clash = ["_key", "_digest", "key", "digest", "whole", "h", "node", "_text", "lang_pred", "score", "root"]
+    base = docs.limit(60).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(None, "the one and only text of its kind here", "en", "a", 1), (None, "some other words that stand alone", "en", None, 1), (1, "", None, "a", 0), (2, None, "en", "a", None), (3, "12 34", "en", "b", 1)] * 2, base.schema)
+    table = base.union(odd)
+    for i, c in enumerate(clash):
+        table = table.withColumn(c, F.lit(f"mine{i}"))
+    for empty_too in (table, table.limit(0)):
+        now = empty_too
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            assert now.columns == table.columns
+        got = now.collect()
+        assert all(r[c] == f"mine{i}" for r in got for i, c in enumerate(clash))
+    now = corpus_pipeline.language(spark, table, SF)
+    texts = [r.text for r in corpus_pipeline.dedup(spark, now, SF).collect()]
+    assert texts.count("the one and only text of its kind here") == 1 == texts.count("some other words that stand alone")
+    assert corpus_pipeline.pack(spark, table.limit(0), SF).count() == 0 and corpus_pipeline.pack(spark, table, SF).count() >= table.count()
