@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..store import materialize
+
 
 def check(nodes: DataFrame, chapters: DataFrame) -> DataFrame:
     """(document, ordinal, problem): repeated keys, parents that don't come before, positions that run back, chapters no node reaches."""
@@ -23,21 +25,25 @@ def check(nodes: DataFrame, chapters: DataFrame) -> DataFrame:
     return out
 
 
-def ancestors(nodes: DataFrame, depth: int) -> DataFrame:
-    """(document, ordinal, ancestor, up) for every node and each of its ancestors, itself at 0; `depth` levels at most."""
-    parent = nodes.select("document", F.col("ordinal").alias("_o"), F.col("parent_ordinal").alias("_p"))
-    at = nodes.select("document", "ordinal", F.col("ordinal").alias("ancestor"), F.lit(0).alias("up"))
-    out = at
-    for up in range(1, depth + 1):
-        at = at.join(parent, (at.document == parent["document"]) & (F.col("ancestor") == F.col("_o"))).filter("_p IS NOT NULL").select(at.document, "ordinal", F.col("_p").alias("ancestor"), F.lit(up).alias("up"))
-        out = out.unionByName(at)
-    return out
+def with_ancestors(nodes: DataFrame, hit: DataFrame) -> DataFrame:
+    """(document, ordinal) of the hit nodes and all their ancestors, however deep.
+
+    A round climbs one level from the nodes that the round before added, so nothing is climbed
+    twice; each round is written to the shared folder.
+    """
+    parents = nodes.filter("parent_ordinal IS NOT NULL").select("document", "ordinal", F.col("parent_ordinal").alias("_p"))
+    new = materialize(hit.select("document", "ordinal").distinct(), "climb")
+    seen = new
+    while not new.isEmpty():
+        up = new.join(parents, ["document", "ordinal"]).select("document", F.col("_p").alias("ordinal")).distinct()
+        new = materialize(up.join(seen, ["document", "ordinal"], "left_anti"), "climb")
+        seen = seen.unionByName(new)
+    return seen
 
 
-def filtered(nodes: DataFrame, terms: list[str], depth: int) -> DataFrame:
+def filtered(nodes: DataFrame, terms: list[str]) -> DataFrame:
     """Nodes whose label holds all terms, with all their ancestors."""
     hit = nodes
     for t in terms:
         hit = hit.filter(F.contains(F.lower("label"), F.lit(t.lower())))
-    shown = ancestors(nodes, depth).join(hit.select("document", "ordinal"), ["document", "ordinal"], "left_semi")
-    return nodes.join(shown.select("document", F.col("ancestor").alias("ordinal")).distinct(), ["document", "ordinal"], "left_semi")
+    return nodes.join(with_ancestors(nodes, hit), ["document", "ordinal"], "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import FUNCTION_WORDS, fold, words
+from ..store import materialize
 
 
 def split_text(text: str, cap: int, overshoot: int) -> list[str]:
@@ -60,37 +61,35 @@ def embedding_input(passages: DataFrame, before: int, after: int) -> DataFrame:
     return passages.withColumn("input", F.concat_ws(" ", F.right(prev, F.lit(before)), F.col("content"), F.left(nxt, F.lit(after))))
 
 
-def violations(found: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """One table of (rule, severity, doc_id, position) from the rows of each rule."""
-    out = None
-    for rule, (rows, severity) in found.items():
-        part = rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "doc_id", "position")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def health(passages: DataFrame) -> DataFrame:
-    """Violations of the block and report rules over passages(doc_id, position, content, lang).
+    """Violations of the block and report rules over passages(doc_id, position, content): (rule, severity, doc_id, position).
 
     Rules: blank; debris (no letter or digit); positions out of sequence; boilerplate notice;
-    short; duplicate text (normalised, from 100 characters: all but the first); mostly unlettered.
+    short; duplicate text (normalised, from 100 characters: all but the first); mostly unlettered;
+    heading at the end; note start; several blank runs joined; bracketed numbers; ligatures.
+    Texts are read once: their findings and digests go to a table of keys, from which the rules
+    across rows follow.
     """
+    c = F.col("content")
+    filled, letters = F.trim(c) != "", F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
+    folded = fold(c)
+    rules = [
+        ("blank", "block", ~filled), ("debris", "block", filled & ~c.rlike("[A-Za-z0-9]")), ("boilerplate", "block", c.rlike("(?i)all rights reserved|public license")),
+        ("short", "report", filled & (F.length(c) < 20)), ("unlettered", "report", (F.length(c) >= 40) & (letters * 2 < F.length(c))),
+        ("note_start", "report", c.rlike(r"^\s*(\[?\d+\]|\*|†)\s")), ("joined", "report", c.rlike(r"[.!?][A-Z][a-z]")), ("bracket_number", "report", c.rlike(r"\[\d+\]")), ("ligature", "report", c.rlike("[ﬁﬂ]")),
+    ]
+    found = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, cond in rules]))
+    heading = filled & (F.length(c) < 60) & ~c.rlike(r"[.!?:;,]\s*$")
+    facts = materialize(passages.select("doc_id", "position", found.alias("found"), heading.alias("heading"), F.when(F.length(folded) >= 100, F.sha2(folded, 256)).alias("digest")), "health")
+    rows = facts.select(F.explode("found").alias("f"), "doc_id", "position").select("f.rule", "f.severity", "doc_id", "position")
     w = W.partitionBy("doc_id").orderBy("position")
-    place = passages.withColumn("_i", F.row_number().over(w) - 1)
-    folded = passages.withColumn("_f", F.sha2(fold(F.col("content")), 256)).filter(F.length(fold(F.col("content"))) >= 100)
+    placed = facts.select("doc_id", "position", "heading", (F.row_number().over(w) - 1).alias("_i"), F.lead("position").over(w).alias("_next"))
     # the earliest holder is found by a grouped minimum, so a very common text is not ranked in one task
-    first = folded.groupBy("_f").agg(F.min(F.struct("doc_id", "position")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    copies = folded.join(first, "_f").filter(F.struct("doc_id", "position") != F.col("_first"))
-    letters = F.length(F.regexp_replace("content", "[^A-Za-z]", ""))
-    return violations({
-        "blank": (passages.filter(F.trim("content") == ""), "block"),
-        "debris": (passages.filter(~F.col("content").rlike("[A-Za-z0-9]")), "block"),
-        "positions": (place.filter("_i <> position"), "block"),
-        "boilerplate": (passages.filter(F.col("content").rlike("(?i)all rights reserved|public license")), "block"),
-        "short": (passages.filter(F.length("content") < 20), "report"),
-        "duplicate": (copies, "report"),
-        "unlettered": (passages.filter((F.length("content") >= 40) & (letters * 2 < F.length("content"))), "report"),
-    })
+    keyed = facts.filter("digest IS NOT NULL").select("digest", "doc_id", "position")
+    first = keyed.groupBy("digest").agg(F.min(F.struct("doc_id", "position")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    copies = keyed.join(first, "digest").filter(F.struct("doc_id", "position") != F.col("_first"))
+    named = lambda df, rule, severity: df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "doc_id", "position")
+    return rows.union(named(placed.filter("_i <> position"), "positions", "block")).union(named(placed.filter("heading AND _next IS NULL"), "last_heading", "block")).union(named(copies, "duplicate", "report"))
 
 
 def known_defects(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -117,9 +116,13 @@ def foreign_runs(texts: DataFrame, key: str, text: Column, home: Column, least:
 
 
 def coverage(sources: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(file, sentences, found, share): which source sentences the corpus holds, both as (.., folded)."""
-    held = corpus.select(F.sha2("folded", 256).alias("_h")).distinct().withColumn("_in", F.lit(1))
-    j = sources.withColumn("_h", F.sha2("folded", 256)).join(held, "_h", "left")
+    """(file, sentences, found, share): which source sentences the corpus holds, both as (.., folded).
+
+    Only corpus sentences whose hash some source sentence has are dealt; texts decide.
+    """
+    wanted = sources.select(F.xxhash64("folded").alias("_h")).distinct()
+    held = corpus.withColumn("_h", F.xxhash64("folded")).join(wanted, "_h", "left_semi").select("folded").distinct().withColumn("_in", F.lit(1))
+    j = sources.join(held, "folded", "left")
     return j.groupBy("file").agg(F.count(F.lit(1)).alias("sentences"), F.count("_in").alias("found"), F.round(F.count("_in") / F.count(F.lit(1)), 6).alias("share"))
 
 

@@ -124,5 +124,29 @@ def hashed_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
 
 
+def containing(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item: str) -> DataFrame:
+    """(item_key, key) of items(item_key, item) whose text stands in a text of docs(key, text).
+
+    The first and last word of an item may be glued to what stands around it in the document;
+    what lies between are whole words. Items with four whole words inside meet documents by the
+    hash of these, shorter ones by their longest inner word; those without one (a word or two)
+    are compared with every text. Whole texts decide in each case.
+    """
+    ws = F.split(item, r"\s+")
+    inner = F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0)))
+    asked = items.select(item_key, item, inner.alias("_in")).select(item_key, item, F.size("_in").alias("_n"), F.when(F.size("_in") >= 4, F.xxhash64(F.array_join(F.slice("_in", 1, 4), " ")))
+        .otherwise(F.xxhash64(F.array_max(F.transform("_in", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])).alias("_h"))
+    w = docs.select(key, F.split(text, r"\s+").alias("_w"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, 4), " ")))
+    one = lambda hs, kind: w.select(key, F.explode_outer(F.array_distinct(hs)).alias("_h")).join(asked.filter(kind).select(item_key, "_h"), "_h").select(key, item_key)
+    near = one(runs, "_n >= 4").union(one(F.transform("_w", lambda x: F.xxhash64(x)), "_n BETWEEN 1 AND 3")).distinct()
+    full = near.join(docs.select(key, text), key).join(items.select(item_key, item), item_key)
+    bare = asked.filter("_n = 0").select(item_key, item)
+    found = full.filter(F.contains(text, F.col(item))).select(item_key, key)
+    if bare.isEmpty():
+        return found
+    return found.union(docs.select(key, text).join(bare, F.contains(text, F.col(item))).select(item_key, key))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)

@@ -10,6 +10,7 @@ from ..functions.text import words
 from ..functions.vectors import cosine, dot
 
 BM25_K, BM25_B, BM25_LENGTH = 1.2, 0.75, 256
+SALTS = 8
 
 
 def vector_paths(queries: DataFrame, points: DataFrame, k: int, min_score: float | None = 0.5) -> DataFrame:
@@ -17,12 +18,15 @@ def vector_paths(queries: DataFrame, points: DataFrame, k: int, min_score: float
 
     queries: (query_id, collection, family, path_no, skip, vector), a row for each requested
     collection, so vectors meet only points of that collection by an equi-join. points:
-    (item, collection, vector, norm). skip: an item never returned for the query, or null.
+    (item, collection, vector, norm). skip: an item never returned for the query, or null. Where
+    queries are too many to be sent to all tasks, each collection's points are dealt into SALTS parts.
     """
     q = queries.withColumn("qnorm", F.sqrt(dot(F.col("vector"), F.col("vector")))).withColumnRenamed("vector", "qvector")
     norms = F.col("qnorm") * F.col("norm")
     score = F.round(F.when(norms == 0, F.lit(0.0)).otherwise(dot(F.col("qvector"), F.col("vector")) / norms), 6)
-    near = points.join(q, "collection").filter(F.coalesce(F.col("item") != F.col("skip"), F.lit(True))).withColumn("score", score)
+    salted = points.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
+    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = salted.join(q, ["collection", "_salt"]).filter(F.coalesce(F.col("item") != F.col("skip"), F.lit(True))).withColumn("score", score)
     if min_score is not None:
         near = near.filter(F.col("score") >= min_score)
     near = near.select("query_id", "collection", "family", "path_no", "item", "score")
@@ -35,10 +39,17 @@ def with_norms(points: DataFrame) -> DataFrame:
     return points.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
 
 
-def postings(passages: DataFrame, text: Column) -> DataFrame:
-    """(collection, item, term, tf, length): term counts of every passage."""
+def postings(passages: DataFrame, text: Column, asked: DataFrame | None = None) -> DataFrame:
+    """(collection, item, term, tf, length): term counts of every passage, or of the asked terms(term) alone.
+
+    Terms that no query asks for are left out before anything is dealt, so the shuffle grows with
+    what the queries match and not with the corpus's words.
+    """
     toks = passages.select("collection", "item", words(text).alias("w")).withColumn("length", F.size("w"))
-    return toks.select("collection", "item", "length", F.explode("w").alias("term")).groupBy("collection", "item", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = toks.select("collection", "item", "length", F.explode("w").alias("term"))
+    if asked is not None:
+        toks = toks.join(asked.select("term").distinct(), "term", "left_semi")
+    return toks.groupBy("collection", "item", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(tf: Column, length: Column) -> Column:

@@ -19,9 +19,9 @@ PASSAGES = """passages AS (
   FROM (SELECT doc_id, lang, source, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents))"""
 POINTS = "points AS (SELECT vec_id AS item, label AS collection, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings)"
 PATHS = f"""{POINTS}, asked AS (
-  SELECT item % 10 AS query_id, item // 10 AS path_no, CASE WHEN item < 10 THEN 'query' ELSE 'hyde' END AS family, vector FROM points WHERE item < 30),
+  SELECT item // 300 AS query_id, item // 100 % 3 AS path_no, CASE WHEN item // 100 % 3 = 0 THEN 'query' ELSE 'hyde' END AS family, item AS skip, vector FROM points WHERE item % 100 = 0),
 near AS (SELECT q.query_id, p.collection, q.family, q.path_no, p.item, round(list_cosine_similarity(q.vector, p.vector), 6) AS score
-  FROM asked q JOIN points p ON p.item <> q.query_id),
+  FROM asked q JOIN points p ON p.item <> q.skip),
 paths AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection, path_no ORDER BY score DESC, item) AS rank FROM near) WHERE rank <= 20)"""
 FUSED = f"""{PATHS}, votes AS (
   SELECT query_id, collection, item, family, max(1.0::DOUBLE / (20 + rank)) AS vote, min(rank) AS best, min((path_no, rank)) AS first FROM paths GROUP BY ALL),
@@ -49,11 +49,12 @@ def points(spark, sf_dir: str) -> DataFrame:
 
 
 def asked(spark, sf_dir: str) -> DataFrame:
-    """Ten queries with three paths each, asked of every collection there is."""
+    """Every vector whose id is divisible by 100, three of them the paths of one query, asked of every collection there is."""
     p = points(spark, sf_dir)
     known = F.broadcast(p.select("collection").distinct().agg(F.sort_array(F.collect_set("collection")).alias("_c")))  # one row: the collections
-    q = p.filter("item < 30").select((F.col("item") % 10).alias("query_id"), F.floor(F.col("item") / 10).alias("path_no"), F.when(F.col("item") < 10, "query").otherwise("hyde").alias("family"), "vector")
-    return q.withColumn("skip", F.col("query_id")).join(known).withColumn("collection", F.explode("_c")).drop("_c")
+    path = F.floor(F.col("item") / 100) % 3
+    q = p.filter("item % 100 = 0").select(F.floor(F.col("item") / 300).alias("query_id"), path.alias("path_no"), F.when(path == 0, "query").otherwise("hyde").alias("family"), F.col("item").alias("skip"), "vector")
+    return q.join(known).withColumn("collection", F.explode("_c")).drop("_c")
 
 
 def paths(spark, sf_dir: str, k: int = 20) -> DataFrame:
@@ -69,6 +70,7 @@ def terms(spark, sf_dir: str) -> DataFrame:
     return w.select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("term"))
 
 
-def posted(spark, sf_dir: str) -> DataFrame:
+def posted(spark, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """Postings of all documents, or of the asked terms(term) alone."""
     docs = load(spark, sf_dir, "documents").select(F.col("lang").alias("collection"), F.col("doc_id").alias("item"), "text")
-    return retrieval.postings(docs, F.col("text"))
+    return retrieval.postings(docs, F.col("text"), asked)

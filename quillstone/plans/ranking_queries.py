@@ -149,13 +149,15 @@ def near_dup_drop(spark, sf_dir):
 
 @register("fts_and", f"WITH {MATCHED} SELECT query_id, collection, item, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY weight DESC, item) AS rank FROM matched WHERE matched = n_terms) WHERE rank <= 10")
 def fts_and(spark, sf_dir):
-    return retrieval.fts_and(posted(spark, sf_dir), terms(spark, sf_dir), 10).select("query_id", "collection", "item", "weight", "rank")
+    t = terms(spark, sf_dir)
+    return retrieval.fts_and(posted(spark, sf_dir, t), t, 10).select("query_id", "collection", "item", "weight", "rank")
 
 
 @register("fts_min_match", f"""WITH {MATCHED}, m AS (SELECT *, max(matched) OVER (PARTITION BY query_id, collection) AS most FROM matched)
 SELECT query_id, collection, item, matched, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY matched DESC, weight DESC, item) AS rank FROM m WHERE matched >= least(ceil(n_terms / 2), most)) WHERE rank <= 10""")
 def fts_min_match(spark, sf_dir):
-    return retrieval.fts_min_match(posted(spark, sf_dir), terms(spark, sf_dir), 10).select("query_id", "collection", "item", "matched", "weight", "rank")
+    t = terms(spark, sf_dir)
+    return retrieval.fts_min_match(posted(spark, sf_dir, t), t, 10).select("query_id", "collection", "item", "matched", "weight", "rank")
 
 
 @register("bm25_weights", f"WITH {POSTINGS} SELECT item, term, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256)), 6) AS weight FROM postings")

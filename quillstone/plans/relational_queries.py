@@ -335,16 +335,9 @@ def unknown_word_rate(spark, sf_dir):
 
 @register("exact_containment", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def exact_containment(spark, sf_dir):
-    """Items that a document holds word for word: an item's second to fifth word narrow the pairs, the whole text decides.
-
-    The first word may be glued to what stands before it, so it doesn't take part. Items of
-    fewer than six words would need another key; the benchmark has none.
-    """
-    b = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.xxhash64(F.array_join(F.slice(F.split("text", "\\s+"), 2, 4), " ")).alias("h"))
-    d = load(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "\\s+").alias("w"))
-    hs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 4), " ")))
-    near = d.select("doc_id", hs.alias("hs")).select("doc_id", F.explode_outer(F.array_distinct("hs")).alias("h")).join(b.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    return near.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", "item"), "item_id").filter(F.contains("text", F.col("item"))).select("item_id", "doc_id")
+    """Items that a document holds character by character."""
+    d, b = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    return rel.containing(d, b, "doc_id", "text", "item_id", "item")
 
 
 @register("folded_lookup", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(source || ' ' || lang), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS folded FROM documents")
