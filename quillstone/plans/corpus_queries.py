@@ -299,12 +299,12 @@ def event_sessions(spark, sf_dir):
     return usage.sessions(load(spark, sf_dir, "events"), 21600)
 
 
-@register("stream_daily_quota")
+@register("stream_daily_quota", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY ALL")
 def stream_daily_quota(spark, sf_dir):
     return jobs.drain(jobs.daily_quota(jobs.events_stream(spark, f"{sf_dir}/events.parquet")), "complete")
 
 
-@register("stream_latest_wins")
+@register("stream_latest_wins", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
 def stream_latest_wins(spark, sf_dir):
     return jobs.drain(jobs.latest_wins(jobs.events_stream(spark, f"{sf_dir}/events.parquet")), "complete")
 
