@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..store import materialize
 from . import ranking, relational, retrieval
 
 
@@ -45,9 +46,10 @@ def hybrid(queries: DataFrame, terms: DataFrame, points: DataFrame, posted: Data
     keyword = retrieval.fts_min_match(posted, terms, config.depth).select("query_id", "collection", F.lit("keyword").alias("family"), F.lit(99).alias("path_no"), "item", "rank")
     paths = vector.select("query_id", "collection", "family", F.col("path_no").cast("int").alias("path_no"), "item", "rank").unionByName(keyword)
     fused = retrieval.rrf(paths, config.rrf_k, config.top_n).join(facts, "item").select("query_id", "collection", "item", "source", "score")
+    fused = materialize(fused, "search-fused")  # capped rows a query; the steps below read them several times
     kept = relational.keep_floor(fused, ["query_id", "collection"], config.floor)
     kept = ranking.first_n(ranking.first_n(kept, ["query_id", "source"], config.per_source), ["query_id", "collection"], config.quota)
-    kept = ranking.guarantee(kept, fused, fused.select("query_id", "collection").distinct(), config.guarantee)
+    kept = ranking.guarantee(materialize(kept, "search-kept"), fused, fused.select("query_id", "collection").distinct(), config.guarantee)
     kept = kept.unionByName(ranking.minimum_floor(kept, fused, "source", "collection", min(config.quota, 5)))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "item")
     filled = F.count(F.lit(1)).over(W.partitionBy("query_id", "collection")) >= config.quota
