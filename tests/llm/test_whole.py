@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+
 from quillstone.llm import decontam, neardup, secret_scan
 
 SF = "/root/testdata/sf0.01"
@@ -61,6 +63,22 @@ def test_near_dedup_mixed_bands(spark):
     assert neardup.groups(docs.limit(0), ["doc_id"], digest=F.xxhash64("text")).count() == 0
 
 
+def test_near_dedup_sends_links_not_pairs():
+    """A block of many middling and near texts gives fewer links than roots, and the brute-force groups."""
+    r = random.Random(5)
+    base, texts = [f"v{i}" for i in range(200)], {}
+    for i in range(150):
+        now = list(base)
+        for _ in range(r.choice((1, 2, 9))):
+            now[r.randrange(200)] = f"x{r.randrange(10**6)}"
+        texts[i] = " ".join(now)
+    sets = [neardup.shingles(t, 5) for t in texts.values()]
+    side = (np.arange(150), np.arange(150), np.stack([neardup.signature(s).astype(np.uint16) for s in sets]), sets)
+    links = [x for band in range(neardup.BANDS) for x in neardup.joining(side, side, band, 0.8)]
+    assert grouping(components(texts, links).items()) == grouping(components(texts, alike(texts)).items())
+    assert all(len(list(neardup.joining(side, side, band, 0.8))) < 150 for band in range(neardup.BANDS))
+
+
 TRAIN = "When a train leaves Boston at 40 km per hour how long does it take to cover 120 km of track without a stop"
 PEARS = "3 pears cost 4 dollars in town, 6 pears cost 8 dollars in town, 9 pears cost 12 dollars in town, so say what 3 pears and 9 pears cost"
 GIFTS = "they say that Anna gave 5 apples to Tom and then Tom gave some apples back to Anna before lunch was made by Anna for Tom"
