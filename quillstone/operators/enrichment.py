@@ -74,15 +74,16 @@ def align(left: list[str], right: list[str], skip: float = 0.15, least: float =
     return out[::-1]
 
 
-def align_editions(pairs: DataFrame) -> DataFrame:
-    """(pair, left_from, left_to, right_from, right_to) of pairs(pair, left, right), both arrays of units in order."""
+def align_editions(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys plus (left_from, left_to, right_from, right_to) of pairs(*keys, left, right), both arrays of units in order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(p, *r) for p, x, y in zip(f["pair"], f["left"], f["right"], strict=True) for r in align(list(x), list(y))]
-            yield pd.DataFrame(rows, columns=["pair", "left_from", "left_to", "right_from", "right_to"])
+            rows = [(*row[:-2], *r) for row in f.itertuples(index=False) for r in align(list(row[-2]), list(row[-1]))]
+            yield pd.DataFrame(rows, columns=[*keys, "left_from", "left_to", "right_from", "right_to"])
 
-    return pairs.select(F.col("pair").cast("long").alias("pair"), "left", "right").mapInPandas(run, "pair long, left_from int, left_to int, right_from int, right_to int")
+    named = ", ".join(f"{k} long" for k in keys)
+    return pairs.select(*[F.col(k).cast("long").alias(k) for k in keys], "left", "right").mapInPandas(run, f"{named}, left_from int, left_to int, right_from int, right_to int")
 
 
 def leases(events: DataFrame, seconds: int) -> DataFrame:

@@ -190,7 +190,10 @@ def stability_failures(spark, sf_dir):
     return remap.stability_failures(old, turned, old.filter("id % 12 = 0").select("id"))
 
 
-@register("drift_counts")
+@register("drift_counts", f"""WITH {OLDNEW}, j AS (SELECT n.content AS source, o.content AS stored, o.id % 30 = 0 AS label, list_distinct({WORDS.format('n.content')}) AS a, list_distinct({WORDS.format('o.content')}) AS b FROM new n JOIN old o USING (id)),
+k AS (SELECT *, source = stored AS same, (len(a) + len(b) > 0 AND len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) > 0.5) OR starts_with(source, stored) OR starts_with(stored, source) AS related,
+  {FOLD.format("regexp_replace(source, '^[^a-zA-Z0-9_]*[a-zA-Z0-9_]*[0-9]+[^a-zA-Z0-9_]*', '')")} = {FOLD.format("regexp_replace(stored, '^[^a-zA-Z0-9_]*[a-zA-Z0-9_]*[0-9]+[^a-zA-Z0-9_]*', '')")} AS marker FROM j)
+SELECT CASE WHEN trim(source) = '' THEN 'blank_source' WHEN NOT same AND NOT related THEN 'content_unrelated' WHEN NOT same AND label THEN 'label_drift' WHEN NOT same AND marker THEN 'marker_prefix' WHEN NOT same THEN 'minor_text' WHEN label THEN 'label_drift' ELSE 'in_sync' END AS drift, count(*) AS n FROM k GROUP BY 1""")
 def drift_counts(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     j = new.select("id", F.col("content").alias("source"), F.lit("a").alias("source_label")).join(old.select("id", F.col("content").alias("stored"), F.when(F.col("id") % 30 == 0, "b").otherwise("a").alias("stored_label")), "id")
@@ -266,7 +269,13 @@ def contents_filter(spark, sf_dir):
     return contents.filtered(_nodes(spark, sf_dir), ["th", "er"]).select("document", "ordinal", "label")
 
 
-@register("fixed_window_rate")
+#: Each user's events one after the other: all users advance together, one event a step.
+WALK = """RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS "at", row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events),
+w AS (SELECT *, "at" AS opened, 1 AS n FROM e WHERE rn = 1
+  UNION ALL SELECT e.*, CASE WHEN e."at" - w.opened >= 21600 THEN e."at" ELSE w.opened END, CASE WHEN e."at" - w.opened >= 21600 THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)"""
+
+
+@register("fixed_window_rate", f'WITH {WALK} SELECT user_id, event_id, "at", n AS in_window, n <= 5 AS allowed FROM w')
 def fixed_window_rate(spark, sf_dir):
     return usage.fixed_window(load(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp("ts").alias("at")), 6 * 3600, 5)
 
@@ -309,7 +318,7 @@ def stream_latest_wins(spark, sf_dir):
     return jobs.drain(jobs.latest_wins(jobs.events_stream(spark, f"{sf_dir}/events.parquet")), "complete")
 
 
-@register("stream_fixed_window")
+@register("stream_fixed_window", f"WITH {WALK} SELECT user_id, arg_max(opened, rn) AS opened, arg_max(n, rn) AS n, count(*) FILTER (n > 5) AS refused FROM w GROUP BY user_id")
 def stream_fixed_window(spark, sf_dir):
     return jobs.drain(jobs.fixed_window(jobs.events_stream(spark, f"{sf_dir}/events.parquet"), 6 * 3600, 5), "update")
 

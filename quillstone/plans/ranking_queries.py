@@ -141,7 +141,11 @@ def near_dup_pairs(spark, sf_dir):
     return _near(spark, sf_dir)[1].select(F.col("a_query_id").alias("query_id"), F.col("a_document").alias("document"), "a_item", "b_item")
 
 
-@register("near_dup_drop")
+@register("near_dup_drop", f"""WITH RECURSIVE {PAIRS}, o AS MATERIALIZED (SELECT p.*, row_number() OVER (PARTITION BY p.query_id, p.document ORDER BY a.score DESC, a_item, b.score DESC, b_item) AS rn FROM pairs p JOIN r a ON a.item = a_item JOIN r b ON b.item = b_item),
+g AS (SELECT DISTINCT query_id, document, 0::BIGINT AS rn, []::BIGINT[] AS gone FROM o
+  UNION ALL SELECT o.query_id, o.document, o.rn, CASE WHEN list_contains(g.gone, o.a_item) OR list_contains(g.gone, o.b_item) THEN g.gone ELSE list_append(g.gone, o.b_item) END FROM g JOIN o ON o.query_id = g.query_id AND o.document = g.document AND o.rn = g.rn + 1),
+l AS (SELECT unnest(arg_max(gone, rn)) AS item FROM g GROUP BY query_id, document)
+SELECT query_id, item, score FROM r ANTI JOIN l USING (item)""")
 def near_dup_drop(spark, sf_dir):
     rows, pairs = _near(spark, sf_dir)
     return ranking.drop_near_duplicates(rows, pairs).select("query_id", "item", "score")

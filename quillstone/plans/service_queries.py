@@ -145,20 +145,32 @@ def edition_align(spark, sf_dir):
     """Each item's sentences against those of the documents that hold its first one: units of two editions in order."""
     s = sentences(F.col("text"))
     b = load(spark, sf_dir, "benchmark").select("item_id", s.alias("left")).withColumn("h", F.xxhash64(fold(F.get("left", F.lit(0)))))
-    d = load(spark, sf_dir, "documents").select("doc_id", s.alias("all")).select("doc_id", F.posexplode("all").alias("at", "first"), "all").withColumn("h", F.xxhash64(fold(F.col("first"))))
-    j = d.join(b, "h").withColumn("right", F.slice("all", F.col("at") + 1, F.size("left") + 2))
-    return enrichment.align_editions(j.select((F.col("item_id") * 1_000_000_000 + F.col("doc_id")).alias("pair"), "left", "right"))
+    d = load(spark, sf_dir, "documents").select("doc_id", s.alias("all"))
+    places = d.select("doc_id", F.posexplode("all").alias("at", "first")).select("doc_id", "at", F.xxhash64(fold(F.col("first"))).alias("h"))
+    met = places.join(b, "h").select("item_id", "doc_id", "at", "left")  # only places where an item's first sentence stands get the sentences after it
+    right = F.slice("all", F.col("at") + 1, F.size("left") + 2)
+    return enrichment.align_editions(met.join(d, "doc_id").select("item_id", "doc_id", "at", "left", right.alias("right")), ["item_id", "doc_id", "at"])
 
 
 def _keyed(spark, sf_dir):
     return load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", F.unix_timestamp("ts").alias("at"), F.when(F.col("event_id") % 3 == 0, "claim").when(F.col("event_id") % 11 == 0, "finish").when(F.col("event_id") % 3 == 1, "fail").otherwise("claim").alias("action"))
 
 
-@register("lease_states")
+KEYED = """e AS MATERIALIZED (SELECT user_id AS key, event_id, floor(epoch(ts))::BIGINT AS "at", CASE WHEN event_id % 3 = 0 THEN 'claim' WHEN event_id % 11 = 0 THEN 'finish' WHEN event_id % 3 = 1 THEN 'fail' ELSE 'claim' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events)"""
+#: What an event does to a lease, from the state before it: l.state and l.since.
+GRANTED = """CASE e.action WHEN 'claim' THEN l.state <> 'ready' AND (l.state <> 'claimed' OR e."at" - l.since >= 7200) ELSE l.state = 'claimed' END"""
+BECOMES = "CASE e.action WHEN 'claim' THEN 'claimed' WHEN 'finish' THEN 'ready' ELSE 'failed' END"
+
+
+@register("lease_states", f"""WITH RECURSIVE {KEYED}, l AS (SELECT DISTINCT key, 0::BIGINT AS event_id, 0::BIGINT AS "at", '' AS action, 0::BIGINT AS rn, 'pending' AS state, 0::BIGINT AS since, false AS granted FROM e
+  UNION ALL SELECT e.*, CASE WHEN {GRANTED} THEN {BECOMES} ELSE l.state END, CASE WHEN e.action = 'claim' AND {GRANTED} THEN e."at" ELSE l.since END, {GRANTED} FROM l JOIN e ON e.key = l.key AND e.rn = l.rn + 1)
+SELECT key, event_id, "at", action, state, granted FROM l WHERE rn > 0""")
 def lease_states(spark, sf_dir):
     return enrichment.leases(_keyed(spark, sf_dir), 7200)
 
 
-@register("trailing_admission")
+@register("trailing_admission", f"""WITH RECURSIVE {KEYED}, l AS (SELECT DISTINCT key, 0::BIGINT AS event_id, 0::BIGINT AS "at", 0::BIGINT AS rn, []::BIGINT[] AS kept, false AS admitted FROM e
+  UNION ALL SELECT e.key, e.event_id, e."at", e.rn, CASE WHEN len(list_filter(l.kept, lambda x: e."at" - x < 86400)) < 2 THEN list_append(list_filter(l.kept, lambda x: e."at" - x < 86400), e."at") ELSE list_filter(l.kept, lambda x: e."at" - x < 86400) END, len(list_filter(l.kept, lambda x: e."at" - x < 86400)) < 2 FROM l JOIN e ON e.key = l.key AND e.rn = l.rn + 1)
+SELECT key, event_id, "at", admitted FROM l WHERE rn > 0""")
 def trailing_admission(spark, sf_dir):
     return enrichment.trailing_admission(_keyed(spark, sf_dir), 86400, 2)
