@@ -14,8 +14,8 @@ FUNCTION_WORDS = {"fr": ["le", "la", "les", "des", "et", "que", "une", "dans"],
 
 
 def words(text: Column) -> Column:
-    """ASCII words in lower case, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+    """Runs of letters, digits and combining marks of any script, in lower case and in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[\\pL\\pN\\pM]+"), 0)
 
 
 def lexemes(text: Column) -> Column:
@@ -25,7 +25,7 @@ def lexemes(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case, punctuation dropped, white space collapsed: the form in which texts are compared."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9\\s]", ""), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^\\pL\\pN\\pM\\s]", ""), "\\s+", " "))
 
 
 def slug(text: Column) -> Column:

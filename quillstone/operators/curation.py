@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import containment, fold, shingles, words
 from ..store import materialize
 
-#: What opens a site's footer, and a heading of notes left at the end.
-FOOTER = "(?is)\\s*(?:last updated\\b|©\\s*copyright|copyright\\s*©|copyright\\s*[-–]\\s*libreria).*$"
-TRAILING_NOTES = "(?is)\\n\\s*(?:footnotes|endnotes)\\.?\\s*$"
 #: Words that stay small inside a title, and valid Roman numerals.
 SMALL_WORDS = ["a", "an", "and", "at", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"]
 ROMAN = "^C{0,3}(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
 
-def without_footer(text: Column) -> Column:
-    """text up to the first footer mark, without a dangling heading of notes."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, FOOTER, ""), TRAILING_NOTES, ""), "\\s+$", "")
+def recurring_endings(docs: DataFrame, lines: int = 4, least: int = 3) -> DataFrame:
+    """(source, line, n): lines that end `least` different texts of a source or more.
+
+    docs: (id, source, text). A line counts if it is among a text's last `lines` lines that aren't
+    blank, whatever its case and blanks. Copies of a text count once, so they make no footer.
+    """
+    texts = docs.filter("text IS NOT NULL").groupBy("source", F.xxhash64("text").alias("_h"), F.length("text").alias("_n")).agg(F.first(_last_lines(F.col("text"), lines)).alias("_l"))
+    return texts.select("source", F.explode(F.array_distinct(F.transform("_l", _line_key))).alias("line")).groupBy("source", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
+def _last_lines(text: Column, lines: int) -> Column:
+    """The last lines that aren't blank, the last one first."""
+    return F.slice(F.reverse(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")), 1, lines)
+
+
+def _line_key(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(line, "\\s+", " ")))
+
+
+def without_footers(docs: DataFrame, footers: DataFrame, lines: int = 4) -> DataFrame:
+    """docs (id, source, text) with the run of footer lines at each text's end cut off, and `cut`, how many went.
+
+    footers: (source, line), as recurring_endings finds them or as a list gives them. Null texts stay.
+    """
+    tail = docs.filter("text IS NOT NULL").select("id", "source", F.posexplode(F.transform(_last_lines(F.col("text"), lines), _line_key)).alias("at", "line"))
+    known = footers.select("source", "line").distinct().withColumn("_f", F.lit(True))
+    stays = tail.join(known, ["source", "line"], "left").groupBy("id").agg(F.count(F.lit(1)).alias("_all"), F.min(F.when(F.col("_f").isNull(), F.col("at"))).alias("_stop"))
+    cut = F.coalesce("_stop", "_all", F.lit(0))
+    kept = F.split("text", "\n")
+    # the place of each line that isn't blank; what lies behind the last one that stays goes
+    full = F.filter(F.transform(kept, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    last = F.when(cut == 0, F.size(kept)).otherwise(F.coalesce(F.get(full, F.size(full) - cut - 1) + 1, F.lit(0)))
+    return docs.join(stays, "id", "left").select("id", "source", F.array_join(F.slice(kept, F.lit(1), last), "\n").alias("text"), cut.alias("cut"))
 
 
 def label_case(label: Column) -> Column:
@@ -57,77 +82,37 @@ def removed_spans(rows: DataFrame, key: str, text: str, pattern: str) -> DataFra
     return rows.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("place", "span"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def overlap_chunks(text: pd.Series, target: pd.Series, overlap: pd.Series) -> pd.Series:
-    """Cuts at the last blank up to 500 characters past the target; neighbours share `overlap` characters.
-
-    Without overlap, a last piece under 40 characters joins the one before it.
-    """
-
-    def cut(t: str, size: int, shared: int) -> list[str]:
-        out, at = [], 0
-        while t and at < len(t):
-            end = min(at + max(1, size), len(t))
-            if end < len(t):
-                blank = t.rfind(" ", at, end + 500)
-                end = blank if blank > at else end
-            out.append(t[at:end].strip())
-            if end >= len(t):
-                break
-            at = max(end - shared, at + 1) if end - shared > at else end
-        out = [c for c in out if c]
-        if not shared and len(out) > 1 and len(out[-1]) < 40:
-            tail = out.pop()
-            out[-1] += f" {tail}"
-        return out
-
-    return pd.Series([cut(*x) for x in zip(text.fillna(""), target, overlap)])
-
-
-def _diff(a: list[str], b: list[str]):
-    from difflib import SequenceMatcher
-
-    return [op for op in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op[0] != "equal"]
-
-
-@F.pandas_udf(StringType())
-def correction_status(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Whether a corrected text is accepted: as many paragraphs, and at most 5 % of the words (one at least) changed.
+def overlap_chunks(text: Column, target: int, overlap: int = 0, reach: int = 500, least: int = 40) -> Column:
+    """An array of pieces, each cut at the last blank up to `reach` characters past the target; neighbours share `overlap` characters.
 
-    Null `after`: failed.
+    Without a blank there the cut is at the target. Empty pieces are left out; without overlap a
+    last piece under `least` characters joins the one before it. Null and empty texts: no piece.
+    An aggregate in the JVM; each round reads the text once, so time grows with pieces times length.
     """
-    import re
-
-    def judge(x: str, y) -> str:
-        if y is None or y != y:
-            return "failed"
-        count = lambda t: sum(1 for p in re.split(r"\n\s*\n", t) if p.strip())
-        changed = sum(max(i2 - i1, j2 - j1) for _, i1, i2, j1, j2 in _diff(x.split(), y.split()))
-        if count(x) != count(y.strip()):
-            return "paragraphs"
-        if changed > max(1, int(0.05 * len(x.split()))):
-            return "too_many_words"
-        return "unchanged" if not changed and x == y.strip() else "accepted"
-
-    return pd.Series([judge(x, y) for x, y in zip(before.fillna(""), after)])
-
-
-@F.pandas_udf(StringType())
-def word_change(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How b's words differ from a's: identical, restored (only added), spelling (near words in place), substantive."""
-    from difflib import SequenceMatcher
-
-    def kind(x: str, y: str) -> str:
-        u, v = x.lower().split(), y.lower().split()
-        ops = _diff(u, v)
-        if not ops:
-            return "identical"
-        if all(op[0] == "insert" for op in ops):
-            return "restored"
-        same = lambda p, q: len(p) == len(q) and all(SequenceMatcher(None, s, t).ratio() >= 0.7 for s, t in zip(p, q))
-        return "spelling" if all(op[0] == "replace" and same(u[op[1]:op[2]], v[op[3]:op[4]]) for op in ops) else "substantive"
-
-    return pd.Series([kind(x, y) for x, y in zip(a.fillna(""), b.fillna(""))])
+    size, whole = F.lit(max(1, target)), F.length(text)
+    rounds = 3 * F.floor(whole / max(1, target - overlap)) + 3  # three rounds go on by target - overlap at least
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts"))
+
+    def onward(state: Column, _: Column) -> Column:
+        at, due = state["at"], state["at"] + size
+        seen = F.substr(text, at + 2, size + (reach - 1))  # where a blank may stand in: behind the first character, before due + reach
+        back = F.instr(F.reverse(seen), " ")
+        blank = F.when(back > 0, at + 1 + F.length(seen) - back).otherwise(due)
+        end = F.when(due >= whole, whole).otherwise(blank)
+        after = F.when(end >= whole, whole).when(end - overlap > at, end - overlap).otherwise(end)
+        told = F.struct(at.cast("int").alias("a"), end.cast("int").alias("b"))
+        going = at < whole
+        return F.struct(F.when(going, after).otherwise(at).cast("int").alias("at"), F.when(going, F.array_append(state["cuts"], told)).otherwise(state["cuts"]).alias("cuts"))
+
+    cuts = F.aggregate(F.sequence(F.lit(1), rounds.cast("int")), begin, onward)["cuts"]
+    cut = F.transform(cuts, lambda c: F.regexp_replace(F.substr(text, c["a"] + 1, c["b"] - c["a"]), "^\\s+|\\s+$", ""))
+    pieces = F.filter(cut, lambda p: p != "")
+    if overlap:
+        return F.coalesce(pieces, F.array().cast("array<string>"))
+    n = F.size(pieces)
+    short = (n > 1) & (F.length(F.get(pieces, n - 1)) < least)
+    joined = F.concat(F.slice(pieces, F.lit(1), n - 2), F.array(F.concat_ws(" ", F.get(pieces, n - 2), F.get(pieces, n - 1))))
+    return F.coalesce(F.when(short, joined).otherwise(pieces), F.array().cast("array<string>"))
 
 
 def classification_problems(facets: DataFrame, labels: DataFrame, contents: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def listwise(pool: DataFrame, answers: DataFrame, low: float = 0.0, high: float
 
 def weighted_postings(rows: DataFrame, key: str, content: Column, reference: Column) -> DataFrame:
     """(key, term, weight): distinct words of the content (A) and of the reference (B); markers and punctuation are no words."""
-    word = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0))
+    word = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[\\pL\\pN\\pM]+"), 0))
     of = lambda c, w: rows.select(key, F.explode(word(c)).alias("term"), F.lit(w).alias("weight"))
     both = of(F.regexp_replace(content, r"\{\{v:\d+\}\}", " "), "A").union(of(reference, "B"))
     return both.groupBy(key, "term").agg(F.min("weight").alias("weight"))

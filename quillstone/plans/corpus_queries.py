@@ -12,7 +12,7 @@ from ..session import load
 from ..streaming import jobs
 from .inputs import FUSED, PASSAGES, fused, passages
 
-FOLD = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+FOLD = "trim(regexp_replace(regexp_replace(lower({0}), '[^\\pL\\pN\\pM\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 @register("slugs", "SELECT item_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM benchmark")
@@ -92,7 +92,7 @@ def known_defect_status(spark, sf_dir):
     return corpus.known_defects(found, known)
 
 
-@register("foreign_runs", """WITH w AS (SELECT doc_id, lang AS home, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS l FROM documents)),
+@register("foreign_runs", """WITH w AS (SELECT doc_id, lang AS home, unnest(range(len(l))) AS i, unnest(l) AS w FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+') AS l FROM documents)),
 m AS (SELECT *, CASE WHEN w IN ('le','la','les','des','et','que','une','dans') THEN 'fr' WHEN w IN ('el','los','las','de','que','y','en','una') THEN 'es' WHEN w IN ('der','die','das','und','nicht','ein','mit','den') THEN 'de' END AS lang FROM w),
 r AS (SELECT *, coalesce((lang = home)::INT, 0) AS stop, sum(coalesce((lang = home)::INT, 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM m)
 SELECT doc_id, run, count(*) AS n, count(lang) AS marks FROM r WHERE stop = 0 GROUP BY ALL HAVING count(*) >= 5 AND count(lang) >= 2""")
@@ -147,7 +147,7 @@ OLDNEW = f"""{PASSAGES}, old AS (SELECT doc_id * 100000 + position AS id, doc_id
 new AS (SELECT CASE WHEN id % 3 = 0 THEN id ELSE id + 10000000000 END AS id, document, position,
   CASE WHEN id % 5 = 0 THEN array_to_string(string_split(content, ' ')[1:greatest(len(string_split(content, ' ')) - 2, 1)], ' ') ELSE content END AS content FROM old WHERE id % 13 <> 0)"""
 SH = "CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) ELSE [] END"
-WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+WORDS = "regexp_extract_all(lower({0}), '[\\pL\\pN\\pM]+')"
 
 
 @register("similarity_shingles", f"""WITH {OLDNEW}, o AS (SELECT id AS old_id, document, {SH.format(k=8)} AS s FROM (SELECT *, {WORDS.format('content')} AS w FROM old)), n AS (SELECT id AS new_id, document, {SH.format(k=8)} AS s FROM (SELECT *, {WORDS.format('content')} AS w FROM new)),
@@ -166,8 +166,8 @@ r2 AS (SELECT * FROM r1 WHERE id NOT IN (SELECT old_id FROM hashed)),
 o AS (SELECT id AS old_id, document, {SH.format(k=8)} AS s FROM (SELECT *, {WORDS.format('content')} AS w FROM r2)), n AS (SELECT id AS new_id, document, {SH.format(k=8)} AS s FROM (SELECT *, {WORDS.format('content')} AS w FROM new)),
 p AS (SELECT old_id, new_id, len(list_intersect(o.s, n.s)) AS c, len(o.s) AS a, len(n.s) AS b FROM o JOIN n ON o.document = n.document AND list_has_any(o.s, n.s)),
 q AS (SELECT old_id, new_id, round(greatest(c::DOUBLE / a, c::DOUBLE / b), 6) AS contained, round(c::DOUBLE / (a + b - c), 6) AS alike FROM p),
-sw AS (SELECT id, document, ' ' || array_to_string(w, ' ') || ' ' AS t FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM r2) WHERE len(w) BETWEEN 1 AND 7),
-nw AS (SELECT id, document, ' ' || array_to_string(regexp_extract_all(lower(content), '[a-z0-9]+'), ' ') || ' ' AS t FROM new),
+sw AS (SELECT id, document, ' ' || array_to_string(w, ' ') || ' ' AS t FROM (SELECT *, regexp_extract_all(lower(content), '[\\pL\\pN\\pM]+') AS w FROM r2) WHERE len(w) BETWEEN 1 AND 7),
+nw AS (SELECT id, document, ' ' || array_to_string(regexp_extract_all(lower(content), '[\\pL\\pN\\pM]+'), ' ') || ' ' AS t FROM new),
 m AS (SELECT *, CASE WHEN contained >= 0.9 THEN 'containment' WHEN alike >= 0.5 THEN 'jaccard' END AS method FROM q WHERE contained >= 0.9 OR alike >= 0.5
   UNION ALL SELECT s.id, n.id, 1.0, 0.0, 'containment' FROM sw s JOIN nw n ON s.document = n.document AND contains(n.t, s.t)),
 shared AS (SELECT old_id, new_id, method FROM (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY method = 'containment' DESC, CASE WHEN method = 'containment' THEN contained ELSE alike END DESC, new_id) AS rn FROM m) WHERE rn = 1),

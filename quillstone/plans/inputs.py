@@ -29,9 +29,9 @@ sums AS (SELECT query_id, collection, item, round(sum(vote), 9) AS score, min(be
 fused AS (SELECT query_id, collection, item, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, first, item) AS rank FROM sums) WHERE rank <= 8 OR best <= 3)"""
 #: The number of collections each query asks for comes from the points themselves.
-TERMS = f"""words_of AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN {STOPS})) AS w FROM benchmark),
+TERMS = f"""words_of AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+'), lambda w: w NOT IN {STOPS})) AS w FROM benchmark),
 terms AS (SELECT query_id, len(w) AS n_terms, unnest(w) AS term FROM words_of)"""
-POSTINGS = """toks AS (SELECT lang AS collection, doc_id AS item, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+POSTINGS = """toks AS (SELECT lang AS collection, doc_id AS item, regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+') AS w FROM documents),
 postings AS (SELECT collection, item, length, term, count(*) AS tf FROM (SELECT collection, item, len(w) AS length, unnest(w) AS term FROM toks) GROUP BY ALL)"""
 MATCHED = f"""{TERMS}, {POSTINGS}, matched AS (
   SELECT query_id, collection, item, n_terms, count(*) AS matched, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256))), 6) AS weight

@@ -90,7 +90,7 @@ def inner_join_counts(spark, sf_dir):
     return j.groupBy("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@register("term_pairs", f"""WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+@register("term_pairs", f"""WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+') AS w FROM benchmark),
 t AS (SELECT query_id, min(i) AS i, term FROM (SELECT query_id, unnest(range(len(w))) AS i, unnest(w) AS term FROM w) WHERE term NOT IN {STOPS} GROUP BY query_id, term) SELECT a.query_id, a.term AS first, b.term AS second FROM t a JOIN t b ON a.query_id = b.query_id AND a.i < b.i""")
 def term_pairs(spark, sf_dir):
     from ..functions.text import lexemes
@@ -326,7 +326,7 @@ def snapshot_export(spark, sf_dir):
     return passages(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("passages"), F.count_distinct("doc_id").alias("documents"), F.sum(F.length("content")).alias("chars"), F.count_distinct("source").alias("sources"))
 
 
-@register("unknown_word_rate", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) SELECT doc_id, count(*) AS words, round(count(*) FILTER (WHERE d.w IS NULL)::DOUBLE / count(*), 6) AS unknown FROM w LEFT JOIN d USING (w) GROUP BY doc_id")
+@register("unknown_word_rate", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+')) AS w FROM documents), d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+')) AS w FROM benchmark) SELECT doc_id, count(*) AS words, round(count(*) FILTER (WHERE d.w IS NULL)::DOUBLE / count(*), 6) AS unknown FROM w LEFT JOIN d USING (w) GROUP BY doc_id")
 def unknown_word_rate(spark, sf_dir):
     w = load(spark, sf_dir, "documents").select("doc_id", F.explode(words(F.col("text"))).alias("w"))
     known = load(spark, sf_dir, "benchmark").select(F.explode(words(F.col("text"))).alias("w")).distinct().withColumn("k", F.lit(1))
@@ -340,6 +340,6 @@ def exact_containment(spark, sf_dir):
     return rel.containing(d, b, "doc_id", "text", "item_id", "item")
 
 
-@register("folded_lookup", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(source || ' ' || lang), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS folded FROM documents")
+@register("folded_lookup", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(source || ' ' || lang), '[^\\pL\\pN\\pM\\s]', '', 'g'), '\\s+', ' ', 'g')) AS folded FROM documents")
 def folded_lookup(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", fold(F.concat_ws(" ", "source", "lang")).alias("folded"))

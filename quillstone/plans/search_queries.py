@@ -88,8 +88,8 @@ def rerank_dispatch(spark, sf_dir):
     return search.listwise(pool, answers).select("query_id", "item", "place", "final", "scorer")
 
 
-@register("weighted_vector", """WITH a AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(text || ' {{v:3}}', '\\{\\{v:\\d+\\}\\}', ' ', 'g')), '[a-z0-9]+'))) AS term FROM benchmark),
-b AS (SELECT item_id, unnest(regexp_extract_all('ref ' || item_id || ':1', '[a-z0-9]+')) AS term FROM benchmark) SELECT item_id, term, min(weight) AS weight FROM (SELECT *, 'A' AS weight FROM a UNION ALL SELECT *, 'B' FROM b) GROUP BY ALL""")
+@register("weighted_vector", """WITH a AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(text || ' {{v:3}}', '\\{\\{v:\\d+\\}\\}', ' ', 'g')), '[\\pL\\pN\\pM]+'))) AS term FROM benchmark),
+b AS (SELECT item_id, unnest(regexp_extract_all('ref ' || item_id || ':1', '[\\pL\\pN\\pM]+')) AS term FROM benchmark) SELECT item_id, term, min(weight) AS weight FROM (SELECT *, 'A' AS weight FROM a UNION ALL SELECT *, 'B' FROM b) GROUP BY ALL""")
 def weighted_vector(spark, sf_dir):
     b = load(spark, sf_dir, "benchmark")
     return search.weighted_postings(b, "item_id", F.concat("text", F.lit(" {{v:3}}")), F.concat(F.lit("ref "), F.col("item_id").cast("string"), F.lit(":1")))

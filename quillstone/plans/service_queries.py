@@ -98,8 +98,8 @@ def page_hosts(spark, sf_dir):
     return load(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
 
 
-@register("description_leak", f"""WITH b AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, greatest(length(f) - 38, 1)), lambda i: substr(f, i, 40)))) AS g FROM (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS f FROM benchmark) WHERE length(f) >= 40),
-d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS f FROM documents) SELECT DISTINCT item_id, doc_id FROM b JOIN d ON contains(d.f, b.g)""")
+@register("description_leak", f"""WITH b AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, greatest(length(f) - 38, 1)), lambda i: substr(f, i, 40)))) AS g FROM (SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN\\pM\\s]', '', 'g'), '\\s+', ' ', 'g')) AS f FROM benchmark) WHERE length(f) >= 40),
+d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN\\pM\\s]', '', 'g'), '\\s+', ' ', 'g')) AS f FROM documents) SELECT DISTINCT item_id, doc_id FROM b JOIN d ON contains(d.f, b.g)""")
 def description_leak(spark, sf_dir):
     """Items of which some run of 40 folded characters stands in a document: hashes of character runs meet in a join."""
     runs = lambda f, n: F.transform(F.sequence(F.lit(1), F.length(f) - n + 1), lambda i: F.xxhash64(F.substring(f, i, F.lit(n))))

@@ -1,11 +1,12 @@
 """Editorial operators on small hand-made rows; those that SQL can't express against plain versions."""
 
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import curation
+from quillstone.operators import curation, differences
 
 
 def plain_chunks(text, size, shared):
@@ -27,26 +28,66 @@ def plain_chunks(text, size, shared):
 
 def test_overlap_chunks_as_plain(spark):
     rng = random.Random(3)
-    texts = ["", "one", "x" * 1500] + [" ".join("w" * rng.randint(1, 12) for _ in range(n)) for n in (5, 90, 400, 1200)]
-    for size, shared in ((700, 60), (700, 0), (1, 0)):
-        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", curation.overlap_chunks("t", F.lit(size), F.lit(shared)).alias("c"))
+    texts = ["", "one", "x" * 1500, "a " + "x" * 3000, "x" * 1190 + " tail"] + [" ".join("w" * rng.randint(1, 12) for _ in range(n)) for n in (5, 90, 400, 1200)]
+    for size, shared in ((700, 60), (700, 0), (1, 0), (50, 49)):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", curation.overlap_chunks(F.col("t"), size, shared).alias("c"))
         assert {r.i: r.c for r in df.collect()} == {i: plain_chunks(t, size, shared) for i, t in enumerate(texts)}
 
 
 def test_without_overlap_no_word_is_lost(spark):
     text = " ".join(f"w{i}" for i in range(900))
-    cut = spark.createDataFrame([(text,), (None,)], "t string").select(curation.overlap_chunks("t", F.lit(300), F.lit(0)).alias("c")).collect()
+    cut = spark.createDataFrame([(text,), (None,)], "t string").select(curation.overlap_chunks(F.col("t"), 300).alias("c")).collect()
     assert " ".join(cut[0].c).split() == text.split() and cut[1].c == []
 
 
-@pytest.mark.parametrize("before,after,status", [("a b c", None, "failed"), ("a b c", "a b c", "unchanged"), ("a b c", "a b d", "accepted"), ("a b c", "a x d", "too_many_words"), ("a b", "a\n\nb", "paragraphs"), (None, "", "unchanged")])
-def test_correction_status(spark, before, after, status):
-    assert spark.createDataFrame([(before, after)], "b string, a string").select(curation.correction_status("b", "a")).first()[0] == status
+def test_footers(spark):
+    """Endings that recur over a source's different texts go; copies, other sources and lines inside stay."""
+    rows = [(i, "a", f"text {i}\nEnd  of page\n\n About us ") for i in range(3)] + [(3, "a", "END OF PAGE\nmore text"), (4, "b", "text\nEnd of page"), (5, "b", "same\nonly"), (6, "b", "same\nonly"), (7, "b", "same\nonly"), (8, "a", "about us"), (9, "a", None), (10, None, "x")]
+    docs = spark.createDataFrame(rows, "id int, source string, text string")
+    found = curation.recurring_endings(docs)
+    assert {(r.source, r.line, r.n) for r in found.collect()} == {("a", "end of page", 4), ("a", "about us", 4)}
+    got = {r.id: (r.text, r.cut) for r in curation.without_footers(docs, found).collect()}
+    assert got[0] == ("text 0", 2) and got[3] == ("END OF PAGE\nmore text", 0) and got[4] == ("text\nEnd of page", 0) and got[7][1] == 0 and got[8] == ("", 1) and got[9] == (None, 0) and got[10] == ("x", 0)
 
 
-@pytest.mark.parametrize("a,b,kind", [("The king", "the KING", "identical"), ("the king came", "the old king came", "restored"), ("his honour came", "his honor came", "spelling"), ("the king came", "the queen left", "substantive"), (None, "", "identical")])
-def test_word_change(spark, a, b, kind):
-    assert spark.createDataFrame([(a, b)], "a string, b string").select(curation.word_change("a", "b")).first()[0] == kind
+@pytest.mark.parametrize("before,after,status,changed", [("a b c", None, "failed", None), ("a b c", " a b c ", "unchanged", 0), ("a b c", "a b d", "accepted", 1), ("a  b", "a b", "accepted", 0), ("a b c", "a x d", "too_many_words", None), ("a b", "a\n\nb", "paragraphs", None), (None, "", "unchanged", 0)])
+def test_corrections(spark, before, after, status, changed):
+    got = differences.corrections(spark.createDataFrame([(1, before, after)], "id int, before string, after string")).first()
+    assert (got.status, got.changed) == (status, changed)
+
+
+KINDS = [("The king", "the KING", "identical"), ("the king came", "the old king came", "restored"), ("his honour came", "his honor came", "spelling"), ("the bums of oldtestament and 12 so vl", "the burns of old testament and so vi", "misprint"), ("the king came", "the queen left", "substantive"), (None, "", "identical"), ("gone words", "", "substantive"), ("7", None, "misprint")]
+
+
+@pytest.mark.parametrize("old,new,kind", KINDS)
+def test_change_kinds(spark, old, new, kind):
+    variants = spark.createDataFrame([("honour", "honor")], "word string, canonical string")
+    assert differences.change_kinds(spark.createDataFrame([(1, old, new)], "id int, old string, new string"), variants).first().kind == kind
+
+
+def test_change_kinds_bound_and_empty(spark):
+    long = " ".join(f"w{i}" for i in range(5000))
+    rows = [(1, long, long + " " + long), (2, long, long.replace("w", "w1")), (3, long, long.replace("w77 ", "w7q "))]
+    assert {r.id: r.kind for r in differences.change_kinds(spark.createDataFrame(rows, "id int, old string, new string")).collect()} == {1: "restored", 2: "substantive", 3: "misprint"}
+    assert differences.change_kinds(spark.createDataFrame([], "id int, old string, new string")).count() == 0 == differences.corrections(spark.createDataFrame([], "id int, before string, after string")).count()
+
+
+def test_hunks_are_least():
+    rng = random.Random(9)
+    for _ in range(400):
+        a, b = (rng.choices("abc", k=rng.randrange(9)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        least, most = len(a) + len(b) - 2 * best[-1][-1], rng.randrange(12)
+        got = differences.hunks(a, b, most)
+        assert (got is None) == (least > most)
+        if got is not None:
+            assert sum(i2 - i1 + j2 - j1 for i1, i2, j1, j2 in got) == least
+            out, at = [], 0
+            for i1, i2, j1, j2 in got:
+                out, at = out + a[at:i1] + b[j1:j2], i2
+            assert out + a[at:] == b
 
 
 def test_fragment_passes_over_numbers_and_headings(spark):
