@@ -10,8 +10,11 @@ of each form included, sum to 1.
 
 Training reads every distinct training text, weighted by its copies. Texts are dealt by hash into
 shards of a fixed number of tokens, and a shard is learned from in the order of hashes, so the
-parameters do not depend on how rows were partitioned. The first shard gives the start; all
-shards continue from there side by side, and their results are averaged by tokens.
+parameters do not depend on how rows were partitioned. The first shard gives the start, in small
+steps and twice. Then come rounds of 1, 1, 2, 4, 8 ... shards: the shards of a round continue side by side
+from what the rounds before gave, and their results are averaged by tokens. So every text is
+learned from once more, and the more there are, the longer the row of rounds that all parameters
+have behind them.
 
 Counts cover all training tokens and stay in a table: a text's rare tokens are joined with it,
 only the commonest words are sent to every task. Each text is cut into tokens once in Python,
@@ -24,7 +27,7 @@ import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ class Shape:
 
     words, least: words of at least `least` training tokens have a leaf of their own, the `words`
     commonest if there are more. shard: training tokens in a shard. common: words whose counts go
-    to every task; the rest are joined.
+    to every task; the rest are joined. first_batch: tokens a step in the first shard, where most is learned.
     """
 
     words: int = 3840
@@ -54,6 +57,7 @@ class Shape:
     noise: int = 32
     leaf_noise: int = 8
     batch: int = 8192
+    first_batch: int = 1024
     rate: float = 0.2
     shard: int = 2_000_000
     common: int = 131_072
@@ -108,9 +112,14 @@ def start(tree: Tree, shape: Shape) -> dict[str, np.ndarray]:
     }
 
 
+def id_type(leaves: int) -> type:
+    """What holds all leaves and the one number more that pads."""
+    return np.uint16 if leaves < 1 << 16 else np.uint32
+
+
 def contexts(y: np.ndarray, size: int, pad: int) -> np.ndarray:
     """The leaves before each of a text's leaves, nearest first, padded where the text begins."""
-    out = np.full((len(y), size), pad, dtype=np.uint16)
+    out = np.full((len(y), size), pad, dtype=id_type(pad))
     for i in range(min(size, len(y) - 1)):
         out[i + 1 :, i] = y[: len(y) - i - 1]
     return out
@@ -290,17 +299,20 @@ def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def train(ids: DataFrame, tree: Tree, shape: Shape, total: int) -> dict[str, np.ndarray]:
-    """Parameters learned from ids(h, ids): the leaf ids of all training texts, equal texts with equal h."""
+    """Parameters learned from ids(h, h2, ids): the leaf ids of all training texts, equal texts with equal hashes."""
     spark = ids.sparkSession
     p = start(tree, shape)
     g2 = {k: np.ones_like(x) for k, x in p.items()}
     shards = max(1, round(total / shape.shard))
     parts = min(shards, 20_000)
-    texts = ids.groupBy("h").agg(F.first("ids").alias("ids"), F.count(F.lit(1)).alias("copies")).withColumn("shard", F.pmod("h", F.lit(shards)))
+    shard = F.pmod("h", F.lit(shards))
+    round_of = F.when(shard == 0, 0).otherwise(F.length(F.bin(shard)))  # 0, 1, 2 and 3, 4 to 7 ...
+    texts = ids.groupBy("h", "h2").agg(F.first("ids").alias("ids"), F.count(F.lit(1)).alias("copies")).select("h", "ids", "copies", shard.alias("shard"), round_of.alias("round"))
+    texts, kind = materialize(texts, "lm-texts", by="round"), id_type(tree.leaves)
 
-    def learned(some: DataFrame, parts: int, states: bool) -> dict[str, np.ndarray]:
+    def learned(some: DataFrame, parts: int, shape: Shape) -> dict[str, np.ndarray]:
         shared = spark.sparkContext.broadcast((p, g2, vars(tree)))
-        names = [*p, *(f"2{k}" for k in p)] if states else list(p)
+        names = [*p, *(f"2{k}" for k in p)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             params, squares, t = shared.value
@@ -320,7 +332,7 @@ def train(ids: DataFrame, tree: Tree, shape: Shape, total: int) -> dict[str, np.
                         if now:
                             close()
                         now, shard = Learner(params, squares, t, shape, s), s
-                    now.text(np.frombuffer(y, dtype=np.uint16), n)
+                    now.text(np.frombuffer(y, dtype=kind), n)
             if now:
                 close()
                 for k in names:
@@ -346,10 +358,12 @@ def train(ids: DataFrame, tree: Tree, shape: Shape, total: int) -> dict[str, np.
             out.setdefault(r["name"], []).append(np.frombuffer(r["x"]) / r["seen"])
         return {k: np.concatenate(x).astype(np.float32).reshape(p[k.lstrip("2")].shape) for k, x in out.items()}
 
-    first = learned(texts.filter("shard = 0"), 1, True)
-    if first:
-        p, g2 = {k: first[k] for k in p}, {k: first[f"2{k}"] for k in p}
-    return learned(texts, parts, False) or p
+    for r in [None, *range((shards - 1).bit_length() + 1)]:
+        new = learned(texts.filter(F.col("round") == (r or 0)), min(parts, max(1, (1 << r) // 2)) if r else 1, shape if r else replace(shape, batch=shape.first_batch))
+        if new:
+            p, g2 = {k: new[k] for k in p}, {k: new[f"2{k}"] for k in p}
+    discard(texts)
+    return p
 
 
 def _runs(column: pa.Array, size: int = 500_000) -> Iterator[tuple[int, list[bytes]]]:
@@ -389,12 +403,13 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
     for w, c in own:
         forms[form(w, shape.forms)] -= c, 1
     tree = Tree(own, forms, shape)
+    kind_of = id_type(tree.leaves)
     shared = spark.sparkContext.broadcast(([w for w, _ in common], np.array([c for _, c in common], dtype=np.float64), tree.word_leaf, tree.form_leaf))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, c, word_leaf, form_leaf = shared.value
         at = {w: i for i, w in enumerate(words)}.get
-        leaf = np.concatenate([word_leaf, [form_leaf[form(w, len(form_leaf))] for w in words[len(word_leaf) :]], [0]]).astype(np.uint16)
+        leaf = np.concatenate([word_leaf, [form_leaf[form(w, len(form_leaf))] for w in words[len(word_leaf) :]], [0]]).astype(kind_of)
         logs = np.append(np.log10(c + 1), 0.0)  # the last ones stand for a rare token
         for b in batches:
             for row, texts in _runs(b.column("text")):
@@ -414,14 +429,14 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in per])]).astype(np.int32), pairs)
                 ids = [y[i:j].tobytes() for i, j in zip(first, first[1:], strict=False)]
                 n = np.diff(first)
-                head = [b.column(k).slice(row, len(texts)) for k in ("doc_id", "held_out", "h")]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(n), pa.array(n - np.diff(cuts)), pa.array(base), pa.array(ids, pa.binary()), lists], ["doc_id", "held_out", "h", "n_tokens", "known", "logs", "ids", "rare"])
+                head = [b.column(k).slice(row, len(texts)) for k in ("doc_id", "held_out", "h", "h2")]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(n), pa.array(n - np.diff(cuts)), pa.array(base), pa.array(ids, pa.binary()), lists], ["doc_id", "held_out", "h", "h2", "n_tokens", "known", "logs", "ids", "rare"])
 
     kind = dict(docs.dtypes)[doc_id]
-    cols = rows.select("doc_id", "held_out", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    told = cols.mapInArrow(encode, f"doc_id {kind}, held_out boolean, h long, n_tokens long, known long, logs double, ids binary, rare array<struct<token:string,n:long>>")
+    cols = rows.select("doc_id", "held_out", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").cast("binary").alias("text"))
+    told = cols.mapInArrow(encode, f"doc_id {kind}, held_out boolean, h long, h2 long, n_tokens long, known long, logs double, ids binary, rare array<struct<token:string,n:long>>")
     told = materialize(told.withColumn("_r", F.monotonically_increasing_id()), "lm-rows")
-    p = train(told.filter(~F.col("held_out")).select("h", "ids"), tree, shape, total)
+    p = train(told.filter(~F.col("held_out")).select("h", "h2", "ids"), tree, shape, total)
     model = spark.sparkContext.broadcast((p, vars(tree)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +446,7 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
         for b in batches:
             out = []
             for first, texts in _runs(b.column("ids")):
-                ys = [np.frombuffer(x, dtype=np.uint16) for x in texts]
+                ys = [np.frombuffer(x, dtype=kind_of) for x in texts]
                 flat = np.concatenate(ys)
                 by_token = scorer(np.concatenate([contexts(y, shape.context, t.leaves) for y in ys]), flat) - t.inside[flat]
                 out.append(np.add.reduceat(by_token, np.concatenate([[0], np.cumsum([len(y) for y in ys])[:-1]])))
@@ -448,4 +463,4 @@ def score(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: st
     )
 
 
-__all__ = ["END", "Learner", "Scorer", "Shape", "Tree", "commonest", "contexts", "count_tokens", "discard", "form", "gradients", "score", "start", "train"]
+__all__ = ["END", "Learner", "Scorer", "Shape", "Tree", "commonest", "contexts", "count_tokens", "discard", "form", "gradients", "id_type", "score", "start", "train"]

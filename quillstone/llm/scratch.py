@@ -30,15 +30,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back; `by` gives each value of that column a folder, so that a filter on it reads no other.
 
     Cuts the lineage: a lost executor costs only the tasks it was running, and row numbers or
     random choices made above the write stay fixed however often the result is read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillstone_path = path
     return out

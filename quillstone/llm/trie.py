@@ -153,6 +153,22 @@ def insert(nodes: DataFrame | None, seqs: DataFrame, paths: DataFrame) -> DataFr
     return out
 
 
+def busy_prefixes(rows: DataFrame, parts: int = 1000) -> DataFrame:
+    """The prefixes (hi, e1, e2) that more than one in `parts` of all rows have: `parts` at most, whatever the size."""
+    counts = materialize(rows.groupBy(*NODE).agg(F.count(F.lit(1)).alias("n")), "trie-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") * parts > total).select(*NODE).collect()
+    discard(counts)
+    return rows.sparkSession.createDataFrame(found, rows.select(*NODE).schema)
+
+
+def met(rows: DataFrame, nodes: DataFrame, busy: DataFrame) -> DataFrame:
+    """rows joined with nodes on the prefix; busy prefixes meet their few nodes where the rows lie, so none fills a task."""
+    few = F.broadcast(busy)  # 1,000 rows at most
+    near = rows.join(F.broadcast(nodes.join(few, NODE, "left_semi")), NODE)
+    return near.unionByName(rows.join(few, NODE, "left_anti").join(nodes.join(few, NODE, "left_anti"), NODE))
+
+
 def joined_digest(rows: DataFrame, key: str, value: str, size: int = 65536) -> DataFrame:
     """(key, sha256): of the values of each key in ascending order, in decimal and joined by commas.
 
@@ -225,11 +241,12 @@ def prefix_trie(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str
     root = classes.groupBy().agg(F.min("c").alias("c")).filter("c IS NOT NULL").select(*[zero.alias(x) for x in NODE], F.lit(-1).cast("long").alias("lo"), zero.alias("q1"), zero.alias("q2"), zero.alias("cum_lo"))
     shape = nodes.select(*NODE, "lo", "q1", "q2", "cum_lo").union(root).join(children, NODE, "left").withColumn("n_children", F.coalesce("n_children", zero))
 
-    before = F.col("cum") - F.col("bytes")
-    hits = materialize(paths.withColumnsRenamed({"d": "hi", "h1": "e1", "h2": "e2"}).withColumn("before", before).join(shape, NODE).drop("x1", "x2", "bytes", "cum"), "trie-hits")
+    before, path_rows = F.col("cum") - F.col("bytes"), paths.withColumnsRenamed({"d": "hi", "h1": "e1", "h2": "e2"})
+    busy = busy_prefixes(path_rows)
+    hits = materialize(met(path_rows.withColumn("before", before), shape, busy).drop("x1", "x2", "bytes", "cum"), "trie-hits")
     size = materialize(hits.groupBy(*NODE).agg(F.min("c").alias("least"), F.sum("copies").alias("n_convs")), "trie-sizes")
     top = F.min(F.when(F.col("least") == F.col("c"), F.struct("lo", "cum_lo")))
-    seqs = hits.join(size, NODE).groupBy("c").agg(top.alias("top"), F.max(((F.col("hi") == F.col("n")) & (F.col("n_children") == 0)).cast("long")).alias("leaf"))
+    seqs = met(hits, size, busy).groupBy("c").agg(top.alias("top"), F.max(((F.col("hi") == F.col("n")) & (F.col("n_children") == 0)).cast("long")).alias("leaf"))
     # a sequence owns what lies below `top` on its path: nodes of which it is the smallest
     own = F.when(F.col("top").isNull(), 0).when(F.col("hi") > F.col("top.lo"), F.col("total") - F.col("before")).otherwise(F.col("total") - F.col("top.cum_lo"))
     sums = hits.join(seqs, "c").groupBy(*NODE, "lo", "q1", "q2", "n_children", "before").agg(F.sum("leaf").alias("n_leaves"), F.sum(F.col("copies") * (F.col("total") - F.col("before")) - own).alias("saved"))
