@@ -27,19 +27,33 @@ HELD = 16  # query blocks whose heaps a task keeps; the heaps of a block beyond
 
 
 def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scales, squared norms of what the codes stand for, and norms of the residuals."""
+    """int8 codes, scales, squared norms of what the codes stand for, and norms of the residuals.
+
+    Rows whose squares double precision can't hold get an infinite residual: nothing is known of them.
+    """
+    top = np.abs(x).max(axis=1)
+    wild = (top > 1e140) | (top < 1e-140)
+    x = np.where(wild[:, None], 1.0, x)
     scale = np.abs(x).max(axis=1) / 127
     codes = np.rint(x / scale[:, None]).astype(np.int8)
     stand = codes * scale[:, None]
-    return codes, scale, (stand**2).sum(axis=1), np.sqrt(((x - stand) ** 2).sum(axis=1))
+    return codes, scale, (stand**2).sum(axis=1), np.where(wild, np.inf, np.sqrt(((x - stand) ** 2).sum(axis=1)))
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances of the rows; components are added in order, as a plain loop does."""
     total = np.zeros(len(x))
-    for a, b in zip(x.T, y.T, strict=True):
-        total += (a - b) ** 2
-    return np.sqrt(total)
+    with np.errstate(over="ignore"):
+        for a, b in zip(x.T, y.T, strict=True):
+            total += (a - b) ** 2
+    out = np.sqrt(total)
+    for i in np.flatnonzero(~np.isfinite(total) | (total < 1e-290)).tolist():  # squares too large or too small for doubles
+        by = 1.0 if total[i] < 1 else 2.0
+        d = x[i] / by - y[i] / by
+        top = np.abs(d).max()
+        with np.errstate(over="ignore"):
+            out[i] = np.sqrt(((d / top) ** 2).sum()) * top * by if top else 0.0
+    return out
 
 
 class Heaps:
@@ -58,10 +72,11 @@ class Heaps:
         near = np.sqrt(np.maximum(self.norm[:, None] + norm[None, :] - 2 * dots * self.scale[:, None] * scale[None, :], 0))
         slack = self.error[:, None] + error[None, :] + 1e-9 * (1 + near)
         far = near + slack
+        low = near - slack
         far[self.ids[:, None] == ids[None, :]] = np.inf
         kth = np.partition(far, self.k - 1, axis=1)[:, self.k - 1] if len(ids) > self.k else np.full(len(far), np.inf)
         worst = np.array([-h[0][0] if len(h) == self.k else np.inf for h in self.heaps])
-        rows, cols = np.nonzero((near - slack <= np.minimum(kth, worst)[:, None]) & (self.ids[:, None] != ids[None, :]))
+        rows, cols = np.nonzero((low <= np.minimum(kth, worst)[:, None]) & (self.ids[:, None] != ids[None, :]))
         for i in range(0, len(rows), 65536):
             r, c = rows[i : i + 65536], cols[i : i + 65536]
             exact = _distances(self.x[r], y[c])

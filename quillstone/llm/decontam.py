@@ -4,6 +4,8 @@ Numbers, names and units become typed placeholders; windows of five template wor
 plain lower-case words, are hashed and joined with the benchmark's. A document holds an item if it has at least 0.8 of the item's
 distinct plain windows, or of its template windows and, at one place at least, a reading of the item's slots that does not
 contradict itself: wherever the item repeats a slot value, the document repeats one value too.
+Names are told by their case. Where a document is all in capitals or small letters they aren't, so
+an item with names is also looked for by its windows without names, of which there must be three.
 So a question asked again with other numbers is found, and chance agreement of loose windows is
 not; further places that hold the template with other values change nothing.
 """
@@ -82,17 +84,21 @@ def find(docs: DataFrame, benchmark: DataFrame, *, key: str, text: str = "text",
     plain = lambda w: _split(F.regexp_replace(w, f"[{NAME}{UNIT}]", ""))
     least = lambda c: F.least(F.lit(k), F.size(c))
     b = benchmark.select(F.col(item).cast("long").alias("item_id"), words_of(F.col(item_text)).alias("_w"))
-    b = b.select("item_id", _split(F.col("_w")).alias("w"), _split(template_of(F.col("_w"))).alias("t"), plain(F.col("_w")).alias("p")).filter(F.size("t") > 0)
+    caseless = lambda w: _split(template_of(F.regexp_replace(w, NAME, "")))
+    b = b.select("item_id", _split(F.col("_w")).alias("w"), _split(template_of(F.col("_w"))).alias("t"), plain(F.col("_w")).alias("p"), caseless(F.col("_w")).alias("c")).filter(F.size("t") > 0)
     short = sorted(r.n for r in b.filter(F.size("t") < k).select(F.size("t").alias("n")).distinct().collect())  # less than k numbers
     literal = lambda ws: F.exists(ws, lambda w: ~w.isin(NAME, UNIT, NUM))
     starts = F.sequence(F.lit(0), F.greatest(F.size("t") - k, F.lit(0)))
-    bw = _windows(b, ["item_id", "t"], [("t", "t", least("t")), ("p", "p", least("p"))], k)
-    bw = bw.filter(literal(F.slice("t", F.col("at") + 1, k))).select("item_id", "kind", "h").distinct()
-    items = bw.groupBy("item_id", "kind").agg(F.count(F.lit(1)).alias("windows"))
+    bw = _windows(b, ["item_id", "t"], [("t", "t", least("t")), ("p", "p", least("p")), ("c", "c", least("c"))], k)
+    here, named = F.slice("t", F.col("at") + 1, k), F.array_contains("t", NAME)
+    bw = bw.filter(literal(here) & ((F.col("kind") != "c") | (named & ~F.array_contains(here, NAME)))).select("item_id", "kind", "h").distinct()
+    items = bw.groupBy("item_id", "kind").agg(F.count(F.lit(1)).alias("windows")).filter((F.col("kind") != "c") | (F.col("windows") >= 3))
     bw = materialize(bw.join(items, ["item_id", "kind"]).select("h", "item_id", F.col("kind").alias("of"), "windows"), "decontam-items")
 
-    dw = docs.select(key, words_of(F.col(text)).alias("_w")).select(key, _split(template_of(F.col("_w"))).alias("_t"), plain(F.col("_w")).alias("_p"))
+    by_case = not bw.filter("of = 'c'").isEmpty()
+    dw = docs.select(key, words_of(F.col(text)).alias("_w")).select(key, _split(template_of(F.col("_w"))).alias("_t"), plain(F.col("_w")).alias("_p"), *([caseless(F.col("_w")).alias("_c")] if by_case else []))
     sizes = [("t", "_t", least("_t")), ("p", "_p", least("_p")), *[("p", "_p", F.when(F.size("_p") > n, F.lit(n)).otherwise(F.lit(k + 1))) for n in short]]
+    sizes += [("c", "_c", least("_c"))] if by_case else []
     hits = _windows(dw, [key], sizes, k).select(key, "h").join(bw, "h").select(key, "item_id", F.col("of").alias("kind"), "windows", "h").distinct()
     hits = hits.groupBy(key, "item_id", "kind").agg(F.count(F.lit(1)).alias("matched"), F.first("windows").alias("windows"))
     told = materialize(hits.filter(F.col("matched") >= share * F.col("windows")), "decontam-hits")
@@ -100,7 +106,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, key: str, text: str = "text",
     hits = told.groupBy(key, "item_id").agg(best).select(key, "item_id", "m.matched", "m.windows")
 
     slotted = b.filter(F.exists("t", lambda w: w.isin(NAME, UNIT, NUM)))
-    asked = told.filter("kind = 't'").join(told.filter("kind = 'p'"), [key, "item_id"], "left_anti").join(slotted.select("item_id"), "item_id", "left_semi")
+    asked = told.filter("kind <> 'p'").join(told.filter("kind = 'p'"), [key, "item_id"], "left_anti").join(slotted.select("item_id"), "item_id", "left_semi")
+    asked = asked.groupBy(key, "item_id").agg(F.max_by("windows", "kind").alias("windows"))  # of the template, if it told
     if asked.isEmpty():
         return hits
     # the item's windows and the document's are laid over each other to read the slots
@@ -113,7 +120,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, key: str, text: str = "text",
     pair = [key, "item_id"]
     # over the whole document, as for an item in scattered pieces, and at each place by itself
     loose = _agreed(read.select(*pair, "tw", "tt", "iww", "dww").distinct(), pair, share)
-    kept = loose.union(_agreed(_places(read, pair, share), [*pair, "place"], share).select(*pair)).distinct()
+    bare = read.groupBy(*pair).agg(F.max(F.exists("tt", lambda w: w.isin(NAME, UNIT, NUM))).alias("s")).filter("NOT s").select(*pair)  # nothing but names was left to read
+    kept = loose.union(bare).union(_agreed(_places(read, pair, share), [*pair, "place"], share).select(*pair)).distinct()
     bad = read.select(*pair).distinct().join(kept, pair, "left_anti")
     return hits.join(bad, pair, "left_anti")
 

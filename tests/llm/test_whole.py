@@ -4,8 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from quillstone.llm import decontam, neardup, secret_scan
+from quillstone.llm import ann, decontam, neardup, secret_scan
 
 SF = "/root/testdata/sf0.01"
 
@@ -115,6 +117,61 @@ def test_decontamination_names_and_blanks(spark):
     assert got == {(0, 0), (4, 0), (1, 1), (2, 1), (3, 1), (5, 2), (7, 2)}
 
 
+def test_decontamination_names_in_any_case(spark):
+    """An item asked again with other names and numbers is found in capitals and in small letters; other questions aren't."""
+    item = "Karla bought 12 pens and some paper at the shop on the corner. Peter then bought rather more of them than all the others had. Karla paid 12 coins for all that they had taken away"
+    again = changed(item.replace("Karla", "Ines").replace("Peter", "Boris"), n12="31")
+    torn = changed(again, n31="31", n12="77").replace("paid 31", "paid 90")
+    other = "ines went to the shop on the corner and bought 31 pens. boris then ran away with all the paper that they had"
+    texts = [again, again.lower(), again.upper(), f"so {again.lower()} and so on", other, torn.lower(), "", None]
+    assert holds(spark, texts, [item]) == {(0, 0), (1, 0), (2, 0), (3, 0)}
+
+
+def test_language_stage_rejects_noise(spark):
+    """Random letters, other scripts and one word over and over go; every document of the table that has prose stays."""
+    import corpus_pipeline
+
+    r = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = ["".join(r.choices(letters, k=300)), " ".join("".join(r.choices(letters, k=6)) for _ in range(60)), "漢字" * 100, "zzz " * 200, "".join(r.choices("0123456789abcdef", k=400)), "привет мир " * 20]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    more = spark.createDataFrame([(10_000_000 + i, t, None, "noise", len(t)) for i, t in enumerate(noise)], docs.schema)
+    got = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(more), SF).collect()}
+    assert got == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_near_dedup_long_texts_and_copies(spark, monkeypatch):
+    """Blocks of few hashes: long near copies, and many copies of one text, still fall into one group each."""
+    from quillstone.llm import neardup
+
+    monkeypatch.setattr(neardup, "BLOCK_HASHES", 500)
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    near = [" ".join(base[: 40 * i] + ["other"] + base[40 * i + 1 :]) for i in range(1, 30)]
+    rows = [(i, t) for i, t in enumerate(near)] + [(100 + i, "the same text over and over again") for i in range(300)] + [(500, " ".join(reversed(base)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.groups(docs, ["doc_id"], digest=F.xxhash64("text")).collect()
+    roots = {}
+    for x in got:
+        roots.setdefault(x.root, set()).add(x.doc_id)
+    assert sorted(map(len, roots.values())) == [1, 29, 300]
+
+
+def test_ann_extreme_magnitudes(spark):
+    """Vectors whose squares leave double precision take part like all others."""
+    r = np.random.default_rng(3)
+    rows = [(i, (r.standard_normal(4) * 1e200).tolist()) for i in range(12)] + [(100, [5e-324, 0.0, 0.0, 0.0]), (101, [1e-200, 2e-200, 0.0, 0.0]), (200, [1.0, 2.0, 3.0, 4.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=14).collect()
+    at = dict(rows)
+    assert len(got) == 3 * 14
+    for x in got:
+        a, b = (np.array(at[i], dtype=np.longdouble) for i in (x.query_id, x.vec_id))
+        assert x.score == pytest.approx(float(np.sqrt(((a - b) ** 2).sum())), rel=1e-12)
+    for q in (0, 100, 200):
+        mine = sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)
+        assert [(x.score, x.vec_id) for x in mine] == sorted((x.score, x.vec_id) for x in mine)
+
+
 def test_secrets_of_one_repository(spark):
     import corpus_pipeline
 
