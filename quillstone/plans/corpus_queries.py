@@ -158,26 +158,55 @@ def similarity_shingles(spark, sf_dir):
     return remap.candidates(old, new, 8)
 
 
-@register("remap_outcomes", f"""WITH {OLDNEW}, removals AS (SELECT id FROM old WHERE id % 26 = 0), same AS (SELECT id AS old_id, id AS new_id, 'id' AS method FROM old WHERE id IN (SELECT id FROM new)),
-r1 AS (SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) AND id NOT IN (SELECT id FROM removals)),
-h AS (SELECT document, {FOLD.format('content')} AS f, min(id) AS new_id FROM new GROUP BY ALL),
+#: As OLDNEW, but every seventh document has its passages cut in two after 60 % of their words, and some removed ids are redirected.
+SPLIT = f"""{OLDNEW}, new2 AS (SELECT id, document, position * 2 AS position, content FROM new WHERE document % 7 <> 0 OR len(string_split(content, ' ')) < 24
+  UNION ALL SELECT id * 2 + 500000000000 + h, document, position * 2 + h, array_to_string(CASE WHEN h = 0 THEN w[1:len(w) * 6 // 10] ELSE w[len(w) * 6 // 10 + 1:] END, ' ') FROM (SELECT *, string_split(content, ' ') AS w FROM new WHERE document % 7 = 0), (VALUES (0), (1)) v(h) WHERE len(w) >= 24),
+removals AS (SELECT id FROM old WHERE id % 26 = 0), redirects AS (SELECT id AS old_id, id - 1 AS new_id FROM old WHERE id % 39 = 13)"""
+
+
+def _split_versions(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    w = F.split("content", " ")
+    cut = (F.col("document") % 7 == 0) & (F.size(w) >= 24)
+    at = F.floor(F.size(w) * 6 / 10).cast("int")
+    part = F.when(F.col("h") == 0, F.slice(w, F.lit(1), at)).otherwise(F.slice(w, at + 1, F.size(w)))
+    halves = new.filter(cut).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1)))).select((F.col("id") * 2 + 500_000_000_000 + F.col("h")).alias("id"), "document", (F.col("position") * 2 + F.col("h")).alias("position"), F.array_join(part, " ").alias("content"))
+    return old, new.filter(~cut).select("id", "document", (F.col("position") * 2).alias("position"), "content").unionByName(halves)
+
+
+@register("remap_outcomes", f"""WITH {SPLIT}, same AS (SELECT id AS old_id, id AS new_id, 'id' AS method FROM old WHERE id IN (SELECT id FROM new2)),
+r0 AS (SELECT * FROM old WHERE id NOT IN (SELECT id FROM new2) AND id NOT IN (SELECT id FROM removals)),
+sent AS (SELECT old_id, new_id, 'redirect' AS method FROM redirects WHERE old_id IN (SELECT id FROM r0) AND new_id IN (SELECT id FROM new2)),
+r1 AS (SELECT * FROM r0 WHERE id NOT IN (SELECT old_id FROM sent)),
+h AS (SELECT document, {FOLD.format('content')} AS f, min(id) AS new_id FROM new2 GROUP BY ALL),
 hashed AS (SELECT r.id AS old_id, h.new_id, 'text_hash' AS method FROM r1 r JOIN h ON r.document = h.document AND {FOLD.format('r.content')} = h.f),
 r2 AS (SELECT * FROM r1 WHERE id NOT IN (SELECT old_id FROM hashed)),
-o AS (SELECT id AS old_id, document, {SH.format(k=8)} AS s FROM (SELECT *, {WORDS.format('content')} AS w FROM r2)), n AS (SELECT id AS new_id, document, {SH.format(k=8)} AS s FROM (SELECT *, {WORDS.format('content')} AS w FROM new)),
-p AS (SELECT old_id, new_id, len(list_intersect(o.s, n.s)) AS c, len(o.s) AS a, len(n.s) AS b FROM o JOIN n ON o.document = n.document AND list_has_any(o.s, n.s)),
-q AS (SELECT old_id, new_id, round(greatest(c::DOUBLE / a, c::DOUBLE / b), 6) AS contained, round(c::DOUBLE / (a + b - c), 6) AS alike FROM p),
-sw AS (SELECT id, document, ' ' || array_to_string(w, ' ') || ' ' AS t FROM (SELECT *, regexp_extract_all(lower(content), '[\\pL\\pN\\pM]+') AS w FROM r2) WHERE len(w) BETWEEN 1 AND 7),
-nw AS (SELECT id, document, ' ' || array_to_string(regexp_extract_all(lower(content), '[\\pL\\pN\\pM]+'), ' ') || ' ' AS t FROM new),
-m AS (SELECT *, CASE WHEN contained >= 0.9 THEN 'containment' WHEN alike >= 0.5 THEN 'jaccard' END AS method FROM q WHERE contained >= 0.9 OR alike >= 0.5
-  UNION ALL SELECT s.id, n.id, 1.0, 0.0, 'containment' FROM sw s JOIN nw n ON s.document = n.document AND contains(n.t, s.t)),
-shared AS (SELECT old_id, new_id, method FROM (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY method = 'containment' DESC, CASE WHEN method = 'containment' THEN contained ELSE alike END DESC, new_id) AS rn FROM m) WHERE rn = 1),
-kept AS (SELECT * FROM same UNION ALL SELECT * FROM hashed UNION ALL SELECT * FROM shared), c AS (SELECT *, count(*) OVER (PARTITION BY new_id) AS n FROM kept)
-SELECT old_id, new_id, CASE WHEN method = 'id' THEN 'same' WHEN n > 1 THEN 'merged' ELSE 'moved' END AS outcome, method FROM c
-UNION ALL SELECT id, NULL, 'removed', 'registry' FROM removals WHERE id NOT IN (SELECT id FROM new)
-UNION ALL SELECT id, NULL, 'removed', 'unexplained' FROM r2 WHERE id NOT IN (SELECT old_id FROM shared)""")
+o AS (SELECT id AS old_id, document, {SH.format(k=8)} AS s FROM (SELECT *, {WORDS.format('content')} AS w FROM r2)), n AS (SELECT id AS new_id, document, position, w, {SH.format(k=8)} AS s FROM (SELECT *, {WORDS.format('content')} AS w FROM new2)),
+p AS (SELECT old_id, o.document, min(new_id) AS new_id, len(list_intersect(o.s, n.s)) AS c, len(o.s) AS a, len(n.s) AS b FROM o JOIN n ON o.document = n.document AND list_has_any(o.s, n.s) GROUP BY old_id, o.document, n.w, o.s, n.s),
+sw AS (SELECT id, document, ' ' || array_to_string(w, ' ') || ' ' AS t FROM (SELECT *, {WORDS.format('content')} AS w FROM r2) WHERE len(w) BETWEEN 1 AND 7),
+m AS (SELECT old_id, new_id, round(c::DOUBLE / a, 6) AS score FROM p WHERE round(c::DOUBLE / a, 6) >= 0.9
+  UNION ALL SELECT s.id, n.new_id, 1.0 FROM sw s JOIN n ON s.document = n.document AND contains(' ' || array_to_string(n.w, ' ') || ' ', s.t)),
+held AS (SELECT old_id, new_id, 'containment' AS method FROM (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) AS rn FROM m) WHERE rn = 1),
+q AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY position, new_id) AS seq FROM n WHERE len(w) >= 8),
+cand AS (SELECT old_id, o.document, o.s AS os, q.s AS ns, seq FROM o JOIN q ON o.document = q.document AND list_has_any(o.s, q.s) WHERE old_id NOT IN (SELECT old_id FROM held)),
+isl AS (SELECT *, seq - row_number() OVER (PARTITION BY old_id ORDER BY seq) AS run FROM cand),
+occ AS (SELECT old_id, document, os, run, seq, unnest(list_intersect(os, ns)) AS h FROM isl),
+l AS (SELECT old_id, run, min(z) AS low FROM (SELECT old_id, run, h, max(seq) AS z FROM occ GROUP BY ALL) GROUP BY ALL),
+e AS (SELECT old_id, document, os, run, low, max(z) AS high FROM (SELECT old_id, document, os, run, low, h, min(seq) AS z FROM occ JOIN l USING (old_id, run) WHERE seq >= low GROUP BY ALL) GROUP BY ALL HAVING max(z) > low),
+j AS (SELECT e.old_id, e.os, e.run, flatten(list(n.w ORDER BY n.position, n.new_id)) AS w, list(n.new_id ORDER BY n.position, n.new_id) FILTER (len(n.w) >= 8) AS ids, list(n.s ORDER BY n.position, n.new_id) FILTER (len(n.w) >= 8) AS parts
+  FROM e JOIN q x ON x.document = e.document AND x.seq = e.low JOIN q y ON y.document = e.document AND y.seq = e.high JOIN n ON n.document = e.document AND n.position BETWEEN x.position AND y.position GROUP BY e.old_id, e.os, e.run),
+g AS (SELECT old_id, run, ids, parts, os, round(len(list_intersect(os, {SH.format(k=8)}))::DOUBLE / len(os), 6) AS score FROM j),
+runs AS (SELECT old_id, ids, ids[coalesce(list_position(list_transform(parts, lambda x: list_contains(x, opening)), true), 1)] AS lead FROM (SELECT old_id, ids, parts, opening, row_number() OVER (PARTITION BY old_id ORDER BY score DESC, run) AS rn FROM g JOIN (SELECT id AS old_id, array_to_string({WORDS.format('content')}[1:8], ' ') AS opening FROM r2) USING (old_id) WHERE score >= 0.9) WHERE rn = 1),
+jac AS (SELECT old_id, new_id, 'jaccard' AS method FROM (SELECT *, row_number() OVER (PARTITION BY old_id ORDER BY score DESC, new_id) AS rn FROM (SELECT *, round(c::DOUBLE / (a + b - c), 6) AS score FROM p) WHERE score >= 0.5 AND old_id NOT IN (SELECT old_id FROM held) AND old_id NOT IN (SELECT old_id FROM runs)) WHERE rn = 1),
+kept AS (SELECT * FROM same UNION ALL SELECT * FROM sent UNION ALL SELECT * FROM hashed UNION ALL SELECT * FROM held UNION ALL SELECT * FROM jac), c AS (SELECT *, count(*) OVER (PARTITION BY new_id) AS n FROM kept)
+SELECT old_id, new_id, CASE WHEN method = 'id' THEN 'same' WHEN n > 1 THEN 'merged' ELSE 'moved' END AS outcome, method, new_id::VARCHAR AS targets FROM c
+UNION ALL SELECT old_id, lead, 'split', 'union', array_to_string(list_concat([lead], list_filter(ids, lambda x: x <> lead)), ' ') FROM runs
+UNION ALL SELECT id, NULL, 'removed', 'registry', '' FROM removals WHERE id NOT IN (SELECT id FROM new2)
+UNION ALL SELECT id, NULL, 'removed', 'unexplained', '' FROM r2 WHERE id NOT IN (SELECT old_id FROM held UNION ALL SELECT old_id FROM runs UNION ALL SELECT old_id FROM jac)""")
 def remap_outcomes(spark, sf_dir):
-    old, new = _versions(spark, sf_dir)
-    return remap.remap(old, new, old.filter("id % 26 = 0").select("id"))
+    old, new = _split_versions(spark, sf_dir)
+    sent = old.filter("id % 39 = 13").select(F.col("id").alias("old_id"), (F.col("id") - 1).alias("new_id"))
+    return remap.remap(old, new, old.filter("id % 26 = 0").select("id"), sent).withColumn("targets", F.array_join(F.col("targets").cast("array<string>"), " "))
 
 
 @register("stability_failures", f"""WITH {OLDNEW}, n2 AS (SELECT id, CASE WHEN id % 6 = 0 THEN array_to_string(list_reverse(string_split(content, ' ')), ' ') ELSE content END AS content FROM new),

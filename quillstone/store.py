@@ -23,4 +23,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: work that several later steps need is done once, and no lineage is left."""
     path = f"{shared_dir(df.sparkSession)}/quillstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quillstone_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables made by materialize() that no later step reads."""
+    for df in frames:
+        path = getattr(df, "_quillstone_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -108,11 +108,27 @@ def test_remap_outcomes(spark):
     word = lambda seed, n: " ".join(f"w{seed}x{i}" for i in range(n))
     old = [(1, 1, word(1, 40)), (2, 1, word(2, 40)), (3, 1, word(3, 40)), (4, 1, word(4, 40)), (5, 1, word(5, 40)), (6, 1, word(5, 40))]
     new = [(1, 1, word(1, 40)), (20, 1, word(2, 40)), (30, 1, word(3, 39) + " tail"), (50, 1, word(5, 40))]
-    make = lambda x: spark.createDataFrame(x, "id long, document long, content string")
+    make = lambda x: spark.createDataFrame([(i, d, n, c) for n, (i, d, c) in enumerate(x)], "id long, document long, position long, content string")
     got = {r.old_id: (r.new_id, r.outcome, r.method) for r in remap.remap(make(old), make(new), make(old).filter("id = 99")).collect()}
     assert got == {1: (1, "same", "id"), 2: (20, "moved", "text_hash"), 3: (30, "moved", "containment"), 4: (None, "removed", "unexplained"), 5: (50, "merged", "text_hash"), 6: (50, "merged", "text_hash")}
 
 
+def test_remap_union(spark):
+    """A cut passage is split, its opening first whatever the order; short pieces bridge; ends that add nothing are cut off; a declared redirect comes first."""
+    w = lambda seed, a, b: " ".join(f"w{seed}x{i}" for i in range(a, b))
+    old = [(1, 1, w(1, 0, 120)), (2, 1, w(2, 0, 120)), (3, 2, w(3, 0, 100)), (4, 2, w(4, 0, 100)), (5, 3, w(5, 0, 90)), (6, 4, w(6, 0, 60)), (7, 5, w(7, 0, 60)), (8, 6, None), (9, 6, "")]
+    new = [(10, 1, w(1, 0, 60)), (11, 1, w(1, 60, 120)), (12, 1, w(2, 60, 120)), (13, 1, w(2, 0, 60)), (20, 2, w(3, 0, 48)), (21, 2, "two words"), (22, 2, w(3, 48, 100)), (23, 2, w(4, 0, 30)), (24, 2, w(9, 0, 30)), (25, 2, w(4, 30, 100)),
+           (30, 3, w(5, 0, 20)), (31, 3, w(5, 0, 45)), (32, 3, w(5, 45, 90)), (40, 4, w(8, 0, 60)), (50, 5, w(7, 0, 40) + " " + w(9, 0, 30))]
+    make = lambda x: spark.createDataFrame([(i, d, n, c) for n, (i, d, c) in enumerate(x)], "id long, document long, position long, content string")
+    sent = spark.createDataFrame([(6, 40), (1, 999)], "old_id long, new_id long")
+    got = {r.old_id: (r.new_id, r.outcome, r.method, r.targets) for r in remap.remap(make(old), make(new), make(old).limit(0), sent).collect()}
+    assert got[1] == (10, "split", "union", [10, 11]) and got[2] == (13, "split", "union", [13, 12])
+    # what stood between is under eight words in one case and a passage of its own in the other
+    assert got[3][:3] == (20, "split", "union") and got[3][3] == [20, 22] and got[4] == (25, "moved", "jaccard", [25])
+    assert got[5] == (31, "split", "union", [31, 32]) and got[6] == (40, "moved", "redirect", [40]) and got[7] == (None, "removed", "unexplained", [])
+    assert got[8] == got[9] == (None, "removed", "unexplained", [])
+
+
 def test_fixed_window(spark):
     ev = spark.createDataFrame([(1, i, t) for i, t in enumerate([0, 10, 59, 60, 61, 119, 125])] + [(2, 9, 5)], "user_id long, event_id long, at long")
     got = {(r.user_id, r.event_id): (r.in_window, r.allowed) for r in usage.fixed_window(ev, 60, 2).collect()}
