@@ -40,12 +40,52 @@ def mended_lines(spark, sf_dir):
     return scans.mended(lines).select("document", "paragraph", "lines", F.md5("text").alias("digest"))
 
 
-@register("reading_order", """WITH b AS (SELECT vec_id // 40 AS page, vec_id AS id, embedding[1]::DOUBLE AS x0, embedding[1]::DOUBLE + abs(embedding[3]::DOUBLE) + CASE WHEN vec_id % 11 = 0 THEN 10 ELSE 0 END AS x1, embedding[2]::DOUBLE AS y FROM embeddings),
-w AS (SELECT *, min(x0) OVER (PARTITION BY page) AS l, max(x1) OVER (PARTITION BY page) - min(x0) OVER (PARTITION BY page) AS w FROM b), f AS (SELECT *, x1 - x0 >= w * 0.6 AS wide FROM w),
-g AS (SELECT *, sum(wide::INT) OVER (PARTITION BY page ORDER BY y, id ROWS UNBOUNDED PRECEDING) * 2 - wide::INT AS band, CASE WHEN wide THEN 0 ELSE least(coalesce(floor(((x0 + x1) / 2 - l) / nullif(w, 0) * 2), 0), 1) END AS c FROM f)
-SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY band, c, y, x0, id) AS place FROM g""")
+def _slots(spark, sf_dir):
+    """Twelve passages a page, and the page's number of columns (one to three)."""
+    p = passages(spark, sf_dir)
+    return p.select((F.col("doc_id") * 1000 + F.floor(F.col("position") / 12)).alias("page"), (F.col("position") % 12).alias("slot"), (1 + F.col("doc_id") % 3).alias("n"), (F.crc32(F.col("content").cast("binary")) % 20).alias("z"))
+
+
+@register("reading_order", f"""WITH {PASSAGES}, s AS (SELECT doc_id * 1000 + position // 12 AS page, position % 12 AS slot, 1 + doc_id % 3 AS n FROM passages),
+a AS (SELECT page, slot * 2 AS slot, CASE WHEN n = 1 THEN 0 ELSE slot % 6 // (6 // n) END AS col FROM s UNION ALL SELECT DISTINCT page, 11, -1 FROM s WHERE page % 2 = 0 AND n > 1 AND page IN (SELECT page FROM s WHERE slot > 5))
+SELECT page, slot, CASE WHEN page IN (SELECT page FROM a GROUP BY page HAVING max(col) > 0) OR col <= 0 THEN greatest(col, -1) ELSE 0 END AS col, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN page IN (SELECT page FROM a WHERE col = -1) THEN (slot > 11)::INT * 2 + (slot = 11)::INT ELSE 0 END, col, slot) AS place FROM a""")
 def reading_order(spark, sf_dir):
-    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
-    x1 = at(0) + F.abs(at(2)) + F.when(F.col("vec_id") % 11 == 0, 10).otherwise(0)
-    boxes = load(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 40).alias("page"), F.col("vec_id").alias("id"), at(0).alias("x0"), x1.alias("x1"), at(1).alias("y"))
-    return scans.reading_order(boxes).select("page", "id", "place")
+    """SQL knows in which column and band each line was set; the operator sees the boxes alone, and the order in them is not the order of rows."""
+    s = _slots(spark, sf_dir)
+    per = F.floor(6 / F.col("n"))  # rows of a column in each of two bands
+    col = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.floor(F.col("slot") % 6 / per))
+    row = F.when(F.col("n") == 1, F.col("slot")).otherwise(F.floor(F.col("slot") / 6) * 7 + F.col("slot") % per)
+    x0 = col * 100.0 + F.col("z") % 4
+    lines = s.select("page", (F.col("slot") * 2).alias("id"), x0.alias("x0"), (x0 + 70 + F.col("z")).alias("x1"), (row * 10.0).alias("y"))
+    heads = s.filter("page % 2 = 0 AND n > 1").groupBy("page", "n").agg(F.max("slot").alias("m")).filter("m > 5").select("page", F.lit(11).cast("long").alias("id"), F.lit(5.0), F.col("n") * 100.0 - 20, F.lit(65.0))
+    got = scans.reading_order(lines.union(heads))
+    return got.select("page", F.col("id").alias("slot"), F.col("column").cast("long").alias("col"), "place")
+
+
+#: Ten lines a page ten units apart, every fifth indented; at the foot of some pages notes six units apart, opened by a number or going on from the page before.
+SET = f"""{PASSAGES}, s AS (SELECT doc_id AS document, position // 10 AS page, position % 10 AS i, position FROM passages),
+full_ AS (SELECT document, page FROM s GROUP BY ALL HAVING count(*) = 10),
+notes AS (SELECT document, page, unnest(range(2 + page % 3)) AS k FROM full_ WHERE page % 4 < 2)"""
+
+
+def _set_lines(spark, sf_dir):
+    p = passages(spark, sf_dir)
+    s = p.select(F.col("doc_id").alias("document"), F.floor(F.col("position") / 10).alias("page"), (F.col("position") % 10).alias("i"), "position", "content")
+    indent = F.when(F.col("position") % 5 == 0, 6.0).otherwise(0.0)
+    body = s.select("document", "page", F.col("i").alias("line"), indent.alias("x0"), F.lit(200.0).alias("x1"), (F.col("i") * 10.0).alias("y"), F.concat(F.lit("Body "), "content").alias("text"))
+    full = s.groupBy("document", "page").agg(F.count(F.lit(1)).alias("n")).filter("n = 10 AND page % 4 < 2")
+    note = full.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("page").cast("int") % 3 + 1)))
+    opens = F.when((F.col("k") == 0) & (F.col("page") % 4 == 0), "1. see there").otherwise("and so on")
+    return body.union(note.select("document", "page", (F.col("k") + 10).cast("long"), F.lit(0.0), F.lit(180.0), 90.0 + 16 + F.col("k") * 6.0, opens))
+
+
+@register("note_blocks", f"""WITH {SET} SELECT document, page, i AS line, false AS note FROM s UNION ALL SELECT document, page, k + 10, page % 4 = 0 OR (document, page - 1) IN (SELECT document, page FROM notes) FROM notes""")
+def note_blocks(spark, sf_dir):
+    return scans.note_blocks(_set_lines(spark, sf_dir)).select("document", "page", "line", "note")
+
+
+@register("page_paragraphs", f"""WITH {SET} SELECT document, page, i AS line, 1 + position // 5 AS paragraph FROM s""")
+def page_paragraphs(spark, sf_dir):
+    """Body lines alone: what the notes leave; paragraphs of five lines run on across page breaks."""
+    body = scans.note_blocks(_set_lines(spark, sf_dir)).filter("NOT note AND line < 10")
+    return scans.paragraph_starts(body).select("document", "page", "line", "paragraph")
