@@ -20,4 +20,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from .plans import corpus_queries, curation_queries, ranking_queries, relational_queries, scan_queries, search_queries, service_queries  # noqa: E402, F401  registers on import
+from .plans import corpus_queries, curation_queries, lifecycle_queries, ranking_queries, relational_queries, scan_queries, search_queries, service_queries  # noqa: E402, F401  registers on import
