@@ -145,3 +145,25 @@ def stitch(rows: DataFrame) -> DataFrame:
     joined = open_.drop("_run").join(runs.drop("_run"), ["document", "chapter"]).filter("next_det = det_from")
     return joined.select("document", "chapter", "position", "det_from", "det_to")
 
+
+
+def assembled(results: DataFrame, spans: DataFrame, passages: DataFrame, between: str = "\n\n") -> DataFrame:
+    """results (id, document, chapter, position) with first, last, n and text: the passage and its attached spans in reading order, each passage once.
+
+    spans: (id, document, chapter, first, last), any number a result; passages: (document, chapter,
+    position, content). Overlapping and touching spans merge before texts are fetched; blank
+    passages are left out. Spans are met by blocks of 64 positions, so a long chapter's passages
+    meet only the spans that reach their block.
+    """
+    own = results.select("id", "document", "chapter", F.col("position").alias("first"), F.col("position").alias("last"))
+    order = W.partitionBy("id", "document", "chapter").orderBy("first", "last")
+    all_ = own.unionByName(spans.select("id", "document", "chapter", "first", "last"))
+    fresh = F.coalesce(F.col("first") > F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1)) + 1, F.lit(False))
+    runs = all_.withColumn("_new", fresh.cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("id", "document", "chapter", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    block = lambda c: F.floor(F.col(c) / 64)
+    dealt = runs.withColumn("_b", F.explode(F.sequence(block("first"), block("last"))))
+    held = passages.filter("trim(content) <> ''").withColumn("_b", block("position")).join(dealt, ["document", "chapter", "_b"]).filter(F.col("position").between(F.col("first"), F.col("last")))
+    parts = F.sort_array(F.collect_list(F.struct("chapter", "position", "content")))
+    told = held.groupBy("id").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("n"), F.array_join(parts["content"], between).alias("text"))
+    return results.join(told, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))

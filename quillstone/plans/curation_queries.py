@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..catalog import register
 from ..functions.text import words
-from ..operators import curation, differences
+from ..operators import curation, differences, units
 from ..session import load
 from .inputs import FUSED, PASSAGES, fused, passages
 
@@ -69,9 +69,35 @@ def fragment_links(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select("item_id", curation.fragment_url(url, found).alias("link"))
 
 
-@register("removed_spans", "SELECT page_id, unnest(range(len(s))) AS place, unnest(s) AS span FROM (SELECT page_id, regexp_extract_all(html, '<!--[^>]*-->') AS s FROM pages)")
+#: Lines in which some words open or close square brackets, so that they nest and don't always balance.
+BRACKETED = f"""{LINES}, bracketed AS (SELECT id, replace(replace(replace(content, ' of ', ' [of '), '. ', '] . '), ',', ' [7],') AS t FROM lines)"""
+
+
+@register("removed_spans", f"""WITH {BRACKETED}, c AS (SELECT id, i, x FROM (SELECT id, unnest(range(1, length(t) + 1)) AS i, unnest(string_split(t, '')) AS x FROM bracketed WHERE contains(t, '[') OR contains(t, ']')) WHERE x IN ('[', ']')),
+s AS (SELECT *, sum(CASE x WHEN '[' THEN 1 ELSE -1 END) OVER (PARTITION BY id ORDER BY i) AS s FROM c),
+d AS (SELECT *, s - least(min(s) OVER (PARTITION BY id ORDER BY i), 0) AS d, x = ']' AND s < coalesce(min(s) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AND s < 0 AS loose FROM s),
+o AS (SELECT *, x = '[' AND coalesce(min(d) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), d) >= d AS open_ FROM d),
+m AS (SELECT *, sum(CASE x WHEN '[' THEN 1 ELSE -1 END) OVER (PARTITION BY id ORDER BY i) AS depth FROM o WHERE NOT loose AND NOT open_),
+p AS (SELECT id, i AS a, lead(i) OVER (PARTITION BY id ORDER BY i) AS b, x FROM m WHERE x = '[' AND depth = 1 OR x = ']' AND depth = 0)
+SELECT id, a - 1 AS start, substr(t, a, b - a + 1) AS span FROM p JOIN bracketed USING (id) WHERE x = '[' AND NOT regexp_matches(substr(t, a, b - a + 1), '^\\[\\s*\\d+\\s*\\]$')""")
 def removed_spans(spark, sf_dir):
-    return curation.removed_spans(load(spark, sf_dir, "pages"), "page_id", "html", "<!--[^>]*-->")
+    """SQL finds the spans by running depths; the operator by a stack."""
+    return curation.without_brackets(_bracketed(spark, sf_dir)).select("id", F.explode("removed").alias("r")).select("id", F.col("r.start").alias("start"), F.col("r.span").alias("span"))
+
+
+def _bracketed(spark, sf_dir):
+    r = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    return _lines(spark, sf_dir).select("id", r(r(r(F.col("content"), " of ", " [of "), ". ", "] . "), ",", " [7],").alias("text"))
+
+
+@register("unexplained_changes", f"WITH {LINES} SELECT id FROM lines WHERE id % 50 = 7 AND content <> upper(content)")
+def unexplained_changes(spark, sf_dir):
+    """Texts rebuilt from the log are the source; those changed in another way besides are found."""
+    rows = _bracketed(spark, sf_dir).join(_lines(spark, sf_dir).select("id", F.col("content").alias("_c")), "id")
+    done = curation.without_brackets(rows)
+    after = done.select("id", F.when(F.col("id") % 50 == 7, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    log = done.select("id", F.explode("removed").alias("r")).select("id", "r.start", "r.span")
+    return curation.changes_unexplained(rows, after, log).join(rows.filter("_c <> upper(_c)").select("id"), "id", "left_semi")
 
 
 @register("overlap_chunks", """WITH RECURSIVE c(doc_id, a, b) AS (SELECT doc_id, 0, -1 FROM documents WHERE text IS NOT NULL UNION ALL
@@ -294,3 +320,39 @@ def genre_disagreements(spark, sf_dir):
     mine = own[F.col("source")]
     n = load(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
     return n.select("*", F.when(mine.isNotNull(), F.col("lang") != mine).otherwise(F.array_contains(F.map_values(own), F.col("lang"))).alias("disagrees"))
+
+
+PACKED = f"""{LINES}, cuts(id, a, b) AS (SELECT id, 0, -1 FROM lines WHERE length(content) > 300 UNION ALL
+  SELECT id, s, CASE WHEN s + 300 >= n THEN n WHEN back > 0 THEN s + 1 + length(seen) - back ELSE s + 300 END FROM (
+    SELECT id, s, n, substr(content, s + 2, 299) AS seen, strpos(reverse(substr(content, s + 2, 299)), ' ') AS back FROM (
+      SELECT id, content, length(content) AS n, CASE WHEN b < 0 THEN 0 ELSE b END AS s FROM cuts JOIN lines USING (id)) WHERE s < n)),
+part AS (SELECT id, document, a, t FROM (SELECT id, document, a, regexp_replace(substr(content, a + 1, b - a), '^\\s+|\\s+$', '', 'g') AS t FROM cuts JOIN lines USING (id) WHERE b >= 0) WHERE t <> '' UNION ALL SELECT id, document, 0, trim(content) FROM lines WHERE length(content) <= 300 AND trim(content) <> ''),
+num AS (SELECT *, length(t) AS n, row_number() OVER (PARTITION BY document ORDER BY id, a) AS rn FROM part),
+walk(document, rn, piece, held) AS (SELECT document, 1, 0, n FROM num WHERE rn = 1 UNION ALL
+  SELECT w.document, w.rn + 1, CASE WHEN held + 2 + n <= 300 THEN piece ELSE piece + 1 END, CASE WHEN held + 2 + n <= 300 THEN held + 2 + n ELSE n END FROM walk w JOIN num ON num.document = w.document AND num.rn = w.rn + 1)"""
+
+
+@register("packed_units", f"""WITH RECURSIVE {PACKED} SELECT document, piece, min(id) AS first, max(id) AS last, arg_min(a, rn) = 0 AS opens, md5(string_agg(t, chr(10) || chr(10) ORDER BY rn)) AS digest FROM walk JOIN num USING (document, rn) GROUP BY document, piece""")
+def packed_units(spark, sf_dir):
+    rows = _lines(spark, sf_dir).select("document", F.col("id").alias("unit"), F.col("position").cast("string").alias("label"), F.col("content").alias("text"))
+    return units.pieces(units.packed(rows, 300)).select("document", "piece", "first", "last", "opens", F.md5("text").alias("digest"))
+
+
+#: Passages of two lines each, some of them with other words in front or from elsewhere, over the lines as units.
+FORWARD = f"""{LINES}, two AS (SELECT document, position // 2 AS position, CASE WHEN position // 2 % 5 = 4 THEN 'Heading here ' ELSE '' END || string_agg(content, ' ' ORDER BY id) AS content FROM lines WHERE position // 2 % 7 <> 3 GROUP BY document, position // 2),
+pw AS (SELECT document, position, {WORDS.format('content')} AS w FROM two), uw AS (SELECT document, position AS unit, {WORDS.format('content')} AS w FROM lines),
+ph AS (SELECT document, position, array_to_string(w[1:6], ' ') AS h, len(w) >= 6 AS long_ FROM pw WHERE len(w) > 0),
+ur AS (SELECT document, unit, i, array_to_string(w[i:i + 5], ' ') AS h, len(w) >= 6 AS long_ FROM (SELECT *, unnest(range(1, greatest(len(w) - 5, 1) + 1)) AS i FROM uw WHERE len(w) > 0)),
+met AS (SELECT document, position, unit, bool_or(i = 1) AS start FROM ph JOIN ur USING (document, h, long_) GROUP BY ALL), pn AS (SELECT document, position, row_number() OVER (PARTITION BY document ORDER BY position) AS rn FROM two),
+walk(document, rn, place, unit) AS (SELECT DISTINCT document, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM pn UNION ALL
+  SELECT document, rn, coalesce(u, place), u FROM (SELECT w.document, pn.rn, w.place, (SELECT min(unit) FROM met m WHERE m.document = pn.document AND m.position = pn.position AND (w.place IS NULL OR m.unit BETWEEN w.place AND w.place + 50)) AS u FROM walk w JOIN pn ON pn.document = w.document AND pn.rn = w.rn + 1))"""
+
+
+@register("matched_forward", f"""WITH RECURSIVE {FORWARD} SELECT document, position, unit, start AS at_start FROM walk JOIN pn USING (document, rn) LEFT JOIN met USING (document, position, unit)""")
+def matched_forward(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    half = F.floor(F.col("position") / 2)
+    both = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda x: x["content"]), " ")
+    two = lines.filter(half % 7 != 3).groupBy("document", half.alias("position")).agg(both.alias("content"))
+    two = two.withColumn("content", F.concat(F.when(F.col("position") % 5 == 4, "Heading here ").otherwise(""), "content"))
+    return units.matched_forward(two, lines.select("document", F.col("position").alias("unit"), F.col("content").alias("text")))

@@ -206,3 +206,16 @@ def stitch_context(spark, sf_dir):
     role = F.when(kind == 0, "objection").when(kind == 1, "reply").when(kind == 2, "determination")
     rows = passages(spark, sf_dir).select(F.col("doc_id").alias("document"), F.floor(F.col("position") / 10).alias("chapter"), "position", role.alias("role"))
     return ranking.stitch(rows)
+
+
+@register("stitched_texts", f"""WITH {PASSAGES}, r AS (SELECT doc_id AS document, position // 10 AS chapter, position, content FROM passages), asked AS (SELECT * FROM r WHERE length(content) % 4 = 0),
+spans AS (SELECT document, chapter, position AS id, p FROM asked, (VALUES (0), (1), (2), (3), (6)) v(k), LATERAL (SELECT position + k - 1 AS p)),
+held AS (SELECT DISTINCT s.document, s.chapter, s.id, r.position, r.content FROM spans s JOIN r ON r.document = s.document AND r.chapter = s.chapter AND r.position = s.p WHERE trim(r.content) <> '')
+SELECT document, chapter, id AS position, min(position) AS first, max(position) AS last, count(*) AS n, md5(string_agg(content, chr(10) || chr(10) ORDER BY position)) AS digest FROM held GROUP BY ALL""")
+def stitched_texts(spark, sf_dir):
+    """Each asked passage with two spans that overlap (the one before to the one after, it to two on) and one further on."""
+    rows = passages(spark, sf_dir).select(F.col("doc_id").alias("document"), F.floor(F.col("position") / 10).alias("chapter"), "position", "content")
+    asked = rows.filter("length(content) % 4 = 0").select((F.col("document") * 100000 + F.col("position")).alias("id"), "document", "chapter", "position")
+    pos = F.col("position")
+    spans = asked.select("id", "document", "chapter", F.explode(F.array(*[F.struct((pos + a).alias("first"), (pos + b).alias("last")) for a, b in ((-1, 1), (0, 2), (5, 5))])).alias("s")).select("id", "document", "chapter", "s.first", "s.last")
+    return ranking.assembled(asked, spans, rows).select("document", "chapter", "position", "first", "last", "n", F.md5("text").alias("digest"))
