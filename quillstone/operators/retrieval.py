@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import words
+from ..functions.stems import stems
+from ..functions.text import STOP_WORDS, words
 from ..functions.vectors import cosine, dot
 
 BM25_K, BM25_B, BM25_LENGTH = 1.2, 0.75, 256
 SALTS = 8
+HEAD, BODY = 1.0, 0.4  # weights of a word by its place
 
 
 def vector_paths(queries: DataFrame, points: DataFrame, k: int, min_score: float | None = 0.5) -> DataFrame:
@@ -40,16 +42,21 @@ def with_norms(points: DataFrame) -> DataFrame:
 
 
 def postings(passages: DataFrame, text: Column, asked: DataFrame | None = None) -> DataFrame:
-    """(collection, item, term, tf, length): term counts of every passage, or of the asked terms(term) alone.
+    """(collection, item, term, tf, weight, length) of every passage, or of the asked terms(term) alone; terms are stems.
 
-    Terms that no query asks for are left out before anything is dealt, so the shuffle grows with
-    what the queries match and not with the corpus's words.
+    tf counts a stem's words; weight adds up their weights by place: HEAD in the first line, BODY
+    behind it. Markers like {{v:3}} are no words. The distinct words are
+    stemmed, and only those whose stem is asked for go on, before anything else is dealt: the
+    shuffle grows with what the queries match and not with the corpus's words.
     """
-    toks = passages.select("collection", "item", words(text).alias("w")).withColumn("length", F.size("w"))
-    toks = toks.select("collection", "item", "length", F.explode("w").alias("term"))
+    plain = F.regexp_replace(text, r"\{\{v:\d+\}\}", " ")
+    vocabulary = passages.select(F.explode(words(plain)).alias("word")).distinct()
+    known = stems(vocabulary).filter(~F.col("word").isin(STOP_WORDS)).withColumnRenamed("stem", "term")
     if asked is not None:
-        toks = toks.join(asked.select("term").distinct(), "term", "left_semi")
-    return toks.groupBy("collection", "item", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        known = known.join(asked.select("term").distinct(), "term", "left_semi")
+    toks = passages.select("collection", "item", words(plain).alias("w"), F.size(words(F.substring_index(plain, "\n", 1))).alias("head")).withColumn("length", F.size("w"))
+    toks = toks.select("collection", "item", "length", "head", F.posexplode("w").alias("at", "word")).join(known, "word").withColumn("weight", F.when(F.col("at") < F.col("head"), HEAD).otherwise(BODY))
+    return toks.groupBy("collection", "item", "length", "term").agg(F.count(F.lit(1)).alias("tf"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
 def bm25(tf: Column, length: Column) -> Column:
@@ -64,7 +71,7 @@ def matched_terms(posted: DataFrame, terms: DataFrame) -> DataFrame:
     how terms are dealt, and the split of very common ones, is Spark's adaptive join's work.
     """
     hits = posted.join(terms, "term")
-    return hits.groupBy("query_id", "collection", "item", "n_terms").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum(bm25(F.col("tf"), F.col("length"))), 6).alias("weight"))
+    return hits.groupBy("query_id", "collection", "item", "n_terms").agg(F.count(F.lit(1)).alias("matched"), F.round(F.sum(bm25(F.col("weight"), F.col("length"))), 6).alias("weight"))
 
 
 def fts_and(posted: DataFrame, terms: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stems import stems, stems_sql
 from ..functions.text import lexemes
 from ..operators import retrieval
 from ..session import load
@@ -19,7 +20,7 @@ PASSAGES = """passages AS (
   FROM (SELECT doc_id, lang, source, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents))"""
 POINTS = "points AS (SELECT vec_id AS item, label AS collection, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings)"
 PATHS = f"""{POINTS}, asked AS (
-  SELECT item // 300 AS query_id, item // 100 % 3 AS path_no, CASE WHEN item // 100 % 3 = 0 THEN 'query' ELSE 'hyde' END AS family, item AS skip, vector FROM points WHERE item % 100 = 0),
+  SELECT item // 100 AS query_id, item % 100 AS path_no, CASE WHEN item % 100 = 0 THEN 'query' ELSE 'hyde' END AS family, item AS skip, vector FROM points WHERE item % 100 < 3),
 near AS (SELECT q.query_id, p.collection, q.family, q.path_no, p.item, round(list_cosine_similarity(q.vector, p.vector), 6) AS score
   FROM asked q JOIN points p ON p.item <> q.skip),
 paths AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection, path_no ORDER BY score DESC, item) AS rank FROM near) WHERE rank <= 20)"""
@@ -29,13 +30,15 @@ sums AS (SELECT query_id, collection, item, round(sum(vote), 9) AS score, min(be
 fused AS (SELECT query_id, collection, item, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, first, item) AS rank FROM sums) WHERE rank <= 8 OR best <= 3)"""
 #: The number of collections each query asks for comes from the points themselves.
-TERMS = f"""words_of AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+'), lambda w: w NOT IN {STOPS})) AS w FROM benchmark),
-terms AS (SELECT query_id, len(w) AS n_terms, unnest(w) AS term FROM words_of)"""
-POSTINGS = """toks AS (SELECT lang AS collection, doc_id AS item, regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+') AS w FROM documents),
-postings AS (SELECT collection, item, length, term, count(*) AS tf FROM (SELECT collection, item, len(w) AS length, unnest(w) AS term FROM toks) GROUP BY ALL)"""
+VOCABULARY = f"""vocabulary AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark)), {stems_sql('vocabulary')}"""
+TERMS = f"""{VOCABULARY}, words_of AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+'))) AS word FROM benchmark),
+terms AS (SELECT DISTINCT query_id, stem AS term, count(DISTINCT stem) OVER (PARTITION BY query_id) AS n_terms FROM words_of JOIN st USING (word) WHERE word NOT IN {STOPS})"""
+#: Words of a document's first line weigh 1, the others 0.4.
+POSTINGS = f"""toks AS (SELECT lang AS collection, doc_id AS item, regexp_extract_all(lower(text), '[\\pL\\pN\\pM]+') AS w, len(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\pL\\pN\\pM]+')) AS head FROM documents),
+postings AS (SELECT collection, item, length, stem AS term, count(*) AS tf, round(sum(CASE WHEN i <= head THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END), 6) AS weight FROM (SELECT collection, item, len(w) AS length, head, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM toks) JOIN st USING (word) WHERE word NOT IN {STOPS} GROUP BY ALL)"""
 MATCHED = f"""{TERMS}, {POSTINGS}, matched AS (
-  SELECT query_id, collection, item, n_terms, count(*) AS matched, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256))), 6) AS weight
-  FROM postings JOIN terms USING (term) GROUP BY query_id, collection, item, n_terms)"""
+  SELECT query_id, collection, item, n_terms, count(*) AS matched, round(sum(p.weight * 2.2 / (p.weight + 1.2 * (0.25 + 0.75 * length / 256))), 6) AS weight
+  FROM postings p JOIN terms USING (term) GROUP BY query_id, collection, item, n_terms)"""
 
 
 def passages(spark, sf_dir: str) -> DataFrame:
@@ -49,11 +52,11 @@ def points(spark, sf_dir: str) -> DataFrame:
 
 
 def asked(spark, sf_dir: str) -> DataFrame:
-    """Every vector whose id is divisible by 100, three of them the paths of one query, asked of every collection there is."""
+    """A query for every vector whose id is divisible by 100, the two behind it as its further paths, asked of every collection there is."""
     p = points(spark, sf_dir)
     known = F.broadcast(p.select("collection").distinct().agg(F.sort_array(F.collect_set("collection")).alias("_c")))  # one row: the collections
-    path = F.floor(F.col("item") / 100) % 3
-    q = p.filter("item % 100 = 0").select(F.floor(F.col("item") / 300).alias("query_id"), path.alias("path_no"), F.when(path == 0, "query").otherwise("hyde").alias("family"), F.col("item").alias("skip"), "vector")
+    path = F.col("item") % 100
+    q = p.filter("item % 100 < 3").select(F.floor(F.col("item") / 100).alias("query_id"), path.alias("path_no"), F.when(path == 0, "query").otherwise("hyde").alias("family"), F.col("item").alias("skip"), "vector")
     return q.join(known).withColumn("collection", F.explode("_c")).drop("_c")
 
 
@@ -66,8 +69,10 @@ def fused(spark, sf_dir: str) -> DataFrame:
 
 
 def terms(spark, sf_dir: str) -> DataFrame:
-    w = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), lexemes(F.col("text")).alias("w"))
-    return w.select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("term"))
+    """(query_id, n_terms, term): the distinct stems of each item's words, stop words left out."""
+    w = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(lexemes(F.col("text"))).alias("word"))
+    got = w.join(stems(w.select("word").distinct()), "word").select("query_id", F.col("stem").alias("term")).distinct()
+    return got.join(got.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id").select("query_id", "n_terms", "term")
 
 
 def posted(spark, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:

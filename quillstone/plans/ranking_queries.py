@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..catalog import register
+from ..functions.stems import stems
+from ..functions.text import words
 from ..functions.vectors import cosine
 from ..operators import ranking, retrieval
 from ..session import load
-from .inputs import FUSED, MATCHED, PASSAGES, PATHS, POINTS, POSTINGS, asked, fused, paths, passages, points, posted, terms
+from .inputs import FUSED, MATCHED, PASSAGES, PATHS, POINTS, POSTINGS, VOCABULARY, asked, fused, paths, passages, points, posted, terms
 
 
 @register("vector_topk", f"WITH {PATHS} SELECT query_id, collection, item, score, rank FROM paths WHERE path_no = 0 AND rank <= 10")
@@ -164,12 +166,12 @@ def fts_min_match(spark, sf_dir):
     return retrieval.fts_min_match(posted(spark, sf_dir, t), t, 10).select("query_id", "collection", "item", "matched", "weight", "rank")
 
 
-@register("bm25_weights", f"WITH {POSTINGS} SELECT item, term, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256)), 6) AS weight FROM postings")
+@register("bm25_weights", f"WITH {VOCABULARY}, {POSTINGS} SELECT item, term, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256)), 6) AS weight FROM postings")
 def bm25_weights(spark, sf_dir):
     return posted(spark, sf_dir).select("item", "term", F.round(retrieval.bm25(F.col("tf"), F.col("length")), 6).alias("weight"))
 
 
-@register("document_frequencies", f"WITH {POSTINGS} SELECT collection, term, count(*) AS df FROM postings GROUP BY ALL")
+@register("document_frequencies", f"WITH {VOCABULARY}, {POSTINGS} SELECT collection, term, count(*) AS df FROM postings GROUP BY ALL")
 def document_frequencies(spark, sf_dir):
     return posted(spark, sf_dir).groupBy("collection", "term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -219,3 +221,9 @@ def stitched_texts(spark, sf_dir):
     pos = F.col("position")
     spans = asked.select("id", "document", "chapter", F.explode(F.array(*[F.struct((pos + a).alias("first"), (pos + b).alias("last")) for a, b in ((-1, 1), (0, 2), (5, 5))])).alias("s")).select("id", "document", "chapter", "s.first", "s.last")
     return ranking.assembled(asked, spans, rows).select("document", "chapter", "position", "first", "last", "n", F.md5("text").alias("digest"))
+
+
+@register("word_stems", f"WITH {VOCABULARY} SELECT word, stem FROM st")
+def word_stems(spark, sf_dir):
+    both = load(spark, sf_dir, "documents").select("text").union(load(spark, sf_dir, "benchmark").select("text"))
+    return stems(both.select(F.explode(words(F.col("text"))).alias("word")).distinct())
