@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..catalog import register
 from ..functions.text import fold, sentences
-from ..operators import enrichment
+from ..operators import alignment, enrichment
 from ..session import load
 from .inputs import PASSAGES, passages
 
@@ -174,3 +174,17 @@ def lease_states(spark, sf_dir):
 SELECT key, event_id, "at", admitted FROM l WHERE rn > 0""")
 def trailing_admission(spark, sf_dir):
     return enrichment.trailing_admission(_keyed(spark, sf_dir), 86400, 2)
+
+
+@register("edition_units")
+def edition_units(spark, sf_dir):
+    """The lines of every document against a second edition of it: every fifth line is joined to the one before, every eleventh is missing, some words are left out.
+
+    SQL has no program over two orders; a test holds the sums against a full one.
+    """
+    p = passages(spark, sf_dir).select(F.col("doc_id").alias("pair"), F.col("position").alias("k"), F.col("content").alias("text"))
+    fewer = F.array_join(F.filter(F.split("text", " "), lambda w: F.crc32(w.cast("binary")) % 9 > 0), " ")
+    place = F.col("k") - F.floor(F.col("k") / 5)  # a fifth line goes with the line before it
+    other = p.filter("k % 11 <> 7").groupBy("pair", place.alias("g")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", fewer.alias("t")))), lambda x: x["t"]), " ").alias("text"))
+    other = other.select("pair", F.lit(1).alias("side"), (F.row_number().over(W.partitionBy("pair").orderBy("g")) - 1).cast("long").alias("k"), "text")
+    return alignment.aligned(p.select("pair", F.lit(0).alias("side"), F.col("k").cast("long").alias("k"), "text").unionByName(other))
