@@ -11,7 +11,7 @@ from ..functions.text import STOP_WORDS, words
 from ..functions.vectors import cosine, dot
 
 BM25_K, BM25_B, BM25_LENGTH = 1.2, 0.75, 256
-SALTS = 8
+LEAST_SALTS, PART = 8, 20_000  # parts of a collection at least, and points in a part
 HEAD, BODY = 1.0, 0.4  # weights of a word by its place
 
 
@@ -21,13 +21,14 @@ def vector_paths(queries: DataFrame, points: DataFrame, k: int, min_score: float
     queries: (query_id, collection, family, path_no, skip, vector), a row for each requested
     collection, so vectors meet only points of that collection by an equi-join. points:
     (item, collection, vector, norm). skip: an item never returned for the query, or null. Where
-    queries are too many to be sent to all tasks, each collection's points are dealt into SALTS parts.
+    queries are too many to be sent to all tasks, each collection's points are dealt into parts, as many as all points need.
     """
+    salts = max(LEAST_SALTS, -(-points.count() // PART))
     q = queries.withColumn("qnorm", F.sqrt(dot(F.col("vector"), F.col("vector")))).withColumnRenamed("vector", "qvector")
     norms = F.col("qnorm") * F.col("norm")
     score = F.round(F.when(norms == 0, F.lit(0.0)).otherwise(dot(F.col("qvector"), F.col("vector")) / norms), 6)
-    salted = points.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int"))
-    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = points.withColumn("_salt", F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int"))
+    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     near = salted.join(q, ["collection", "_salt"]).filter(F.coalesce(F.col("item") != F.col("skip"), F.lit(True))).withColumn("score", score)
     if min_score is not None:
         near = near.filter(F.col("score") >= min_score)

@@ -129,7 +129,10 @@ def chapter_contiguous(spark, sf_dir):
     return corpus.not_contiguous(p, "doc_id", "position", "k")
 
 
-@register("rising_run")
+@register("rising_run", f"""WITH RECURSIVE {PASSAGES}, p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS rn, length(content) % 50 AS v FROM passages),
+r(doc_id, rn, best) AS (SELECT DISTINCT doc_id, 0::BIGINT, list_transform(range(50), lambda x: 0::BIGINT) FROM p UNION ALL
+  SELECT r.doc_id, p.rn, list_transform(range(50), lambda x: CASE WHEN x = v THEN greatest(best[x + 1], 1 + coalesce(list_max(best[greatest(v - 8, 0) + 1:v]), 0)) ELSE best[x + 1] END) FROM r JOIN p ON p.doc_id = r.doc_id AND p.rn = r.rn + 1)
+SELECT doc_id, list_max(best) AS length, list_position(best, list_max(best)) - 1 AS last FROM (SELECT doc_id, arg_max(best, rn) AS best FROM r GROUP BY doc_id)""")
 def rising_run(spark, sf_dir):
     p = passages(spark, sf_dir).select("doc_id", "position", (F.length("content") % 50).alias("n"))
     return corpus.rising_run(p, "doc_id", "position", "n", 8)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..operators import lifecycle
+from ..operators import lifecycle, saved
 from ..session import load
 from .inputs import PASSAGES, passages
 
@@ -78,3 +78,34 @@ def location_status(spark, sf_dir):
     k = F.col("k")
     sent = docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(17)))).filter(k % 4 > 0).select(F.lit("anchor").alias("entity"), F.col("document").alias("old_document"), F.concat(F.lit("a"), k).alias("old_key"), (F.col("document") + k % 2).alias("new_document"), F.concat(F.lit("a"), F.floor(k / 2)).alias("new_key"), F.lit("moved").alias("kind"))
     return lifecycle.location_status(asked, rows, docs, sent, moves, stones)
+
+
+#: Events as changes of bookmarks: the type and number say what is done; the first day's orders are what was there before.
+MARKS = """held AS (SELECT o_custkey AS "user", o_orderkey % 7 AS passage, min(o_orderpriority) AS note, min(epoch(o_orderdate)::BIGINT) AS created FROM orders GROUP BY ALL),
+changes AS (SELECT user_id AS "user", event_id % 7 AS passage, event_id AS seq, floor(epoch(ts))::BIGINT AS t, CASE WHEN event_id % 5 = 0 THEN 'delete' ELSE 'put' END AS action, CASE WHEN event_id % 3 > 0 THEN event_type END AS note FROM events)"""
+
+
+@register("bookmarks_after", f"""WITH {MARKS}, cut AS (SELECT "user", passage, max((t, seq)) AS c FROM changes WHERE action = 'delete' GROUP BY ALL),
+puts AS (SELECT c.* FROM changes c LEFT JOIN cut USING ("user", passage) WHERE action = 'put' AND (cut.c IS NULL OR (t, seq) > cut.c)),
+kept AS (SELECT h.* FROM held h ANTI JOIN cut USING ("user", passage)),
+n AS (SELECT "user", passage, arg_max(note, (t, seq)) FILTER (note IS NOT NULL) AS note, arg_min(t, (t, seq)) AS created FROM puts GROUP BY ALL)
+SELECT "user", passage, coalesce(n.note, k.note) AS note, coalesce(k.created, n.created) AS created FROM n FULL JOIN kept k USING ("user", passage)""")
+def bookmarks_after(spark, sf_dir):
+    held = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user"), (F.col("o_orderkey") % 7).alias("passage")).agg(F.min("o_orderpriority").alias("note"), F.min(F.unix_timestamp("o_orderdate")).alias("created"))
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("user"), (F.col("event_id") % 7).alias("passage"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("at"), F.when(F.col("event_id") % 5 == 0, "delete").otherwise("put").alias("action"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("note"))
+    return saved.bookmarks_after(held, e)
+
+
+@register("deleted_searches", """WITH gone AS (SELECT o_orderkey AS search FROM orders WHERE o_orderkey % 4 = 1 AND o_custkey % 2 = 0)
+SELECT 'searches' AS part, o_orderstatus AS kind, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT search FROM gone) GROUP BY ALL
+UNION ALL SELECT 'results', l_linestatus, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT search FROM gone) GROUP BY ALL
+UNION ALL SELECT 'labels', CASE WHEN l_orderkey IN (SELECT search FROM gone) THEN 'loose' ELSE 'tied' END, count(*) FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL""")
+def deleted_searches(spark, sf_dir):
+    """Orders stand for searches, their lines for results and, the first ones, for labels; wishes to delete another customer's do nothing."""
+    o, l_ = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    searches = o.select(F.col("o_orderkey").alias("search"), F.col("o_custkey").alias("user"), F.col("o_orderstatus").alias("kind"))
+    wishes = searches.filter("search % 4 = 1").select("search", (F.col("user") + F.col("user") % 2).alias("user"))
+    lines = l_.select(F.col("l_orderkey").alias("search"), F.col("l_linestatus").alias("kind"), "l_linenumber")
+    left, results, labels = saved.without_searches(wishes.union(wishes), searches, lines, lines.filter("l_linenumber = 1"))
+    told = lambda d, part, kind: d.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "kind", "n")
+    return told(left, "searches", F.col("kind")).unionByName(told(results, "results", F.col("kind"))).unionByName(told(labels, "labels", F.when(F.col("search").isNull(), "loose").otherwise("tied")))

@@ -1,6 +1,6 @@
 """What saved passages and links show, on small hand-made rows."""
 
-from quillstone.operators import lifecycle
+from quillstone.operators import lifecycle, saved
 
 MOVES = "entity string, old_id long, new_id long, kind string"
 STONES = "entity string, id long, reason string"
@@ -38,3 +38,18 @@ def test_restored_lists_show_a_passage_once(spark):
     saved = spark.createDataFrame([(1, 1, 3), (1, 2, 1), (1, 3, 7), (1, 4, 6), (1, 5, 99), (2, 1, 1)], "search long, rank int, passage long")
     got = sorted((r.search, r["rank"], r.status, r.shown) for r in lifecycle.restored(saved, lifecycle.passage_status(saved.selectExpr("passage AS id"), p, d, m, t)).collect())
     assert got == [(1, 1, "moved", 1), (1, 3, "removed", None), (1, 4, "removed", None), (2, 1, "current", 1)]
+
+
+def test_bookmarks_begin_anew_after_a_delete(spark):
+    held = spark.createDataFrame([(1, 1, "old", 5), (1, 2, "kept", 6), (2, 1, None, 7)], "user int, passage int, note string, created long")
+    changes = spark.createDataFrame([(1, 1, 1, 10, "put", None), (1, 2, 2, 11, "delete", None), (1, 2, 3, 12, "put", "new"), (2, 1, 4, 13, "put", "first"), (2, 1, 5, 13, "put", "second"), (3, 9, 6, 14, "delete", None), (4, 1, 7, 15, "put", "x"), (4, 1, 8, 16, "delete", None)], "user int, passage int, seq int, at long, action string, note string")
+    got = {(r.user, r.passage): (r.note, r.created) for r in saved.bookmarks_after(held, changes).collect()}
+    assert got == {(1, 1): ("old", 5), (1, 2): ("new", 12), (2, 1): ("second", 7)}
+    assert saved.bookmarks_after(held.limit(0), changes.limit(0)).count() == 0
+
+
+def test_deleting_searches_cascades(spark):
+    searches = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "search int, user int")
+    rest = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "search int, x string")
+    a, b, c = saved.without_searches(spark.createDataFrame([(1, 1), (1, 1), (2, 1), (9, 9)], "search int, user int"), searches, rest, rest)
+    assert {r.search for r in a.collect()} == {2, 3} and {r.x for r in b.collect()} == {"b", "c", "d"} and {(r.search, r.x) for r in c.collect()} == {(None, "a"), (2, "b"), (3, "c"), (None, "d")}
