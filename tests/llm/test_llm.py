@@ -473,7 +473,7 @@ def test_long_thread(spark):
 
 
 def test_queries_run(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     for name, f in queries.QUERIES.items():
         df = f(spark, SF)
         assert df.count() > 0 and len(set(df.columns)) == len(df.columns), name
