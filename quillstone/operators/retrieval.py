@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.stems import stems
-from ..functions.text import STOP_WORDS, words
+from ..functions.text import STOP_WORDS, lexemes, words
 from ..functions.vectors import cosine, dot
 
 BM25_K, BM25_B, BM25_LENGTH = 1.2, 0.75, 256
@@ -60,6 +60,13 @@ def postings(passages: DataFrame, text: Column, asked: DataFrame | None = None)
     return toks.groupBy("collection", "item", "length", "term").agg(F.count(F.lit(1)).alias("tf"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, n_terms, term) of queries (query_id, text): the distinct stems of their words, stop words left out."""
+    w = queries.select("query_id", F.explode(lexemes(F.col("text"))).alias("word"))
+    got = w.join(stems(w.select("word").distinct()), "word").select("query_id", F.col("stem").alias("term")).distinct()
+    return got.join(got.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id").select("query_id", "n_terms", "term")
+
+
 def bm25(tf: Column, length: Column) -> Column:
     """Saturated term weight with fixed constants, so that no corpus fit is needed."""
     return tf * (BM25_K + 1) / (tf + BM25_K * (1 - BM25_B + BM25_B * length / BM25_LENGTH))
@@ -103,4 +110,4 @@ def rrf(paths: DataFrame, k: int = 20, top_n: int = 30, sure: int = 3) -> DataFr
     return ranked.filter((F.col("rank") <= top_n) | (F.col("best") <= sure)).select("query_id", "collection", "item", "score", "rank")
 
 
-__all__ = ["bm25", "cosine", "fts_and", "fts_min_match", "matched_terms", "postings", "rrf", "vector_paths", "with_norms"]
+__all__ = ["bm25", "cosine", "fts_and", "fts_min_match", "matched_terms", "postings", "query_terms", "rrf", "vector_paths", "with_norms"]

@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stems import stems, stems_sql
-from ..functions.text import lexemes
+from ..functions.stems import stems_sql
 from ..operators import retrieval
 from ..session import load
 
@@ -69,10 +68,7 @@ def fused(spark, sf_dir: str) -> DataFrame:
 
 
 def terms(spark, sf_dir: str) -> DataFrame:
-    """(query_id, n_terms, term): the distinct stems of each item's words, stop words left out."""
-    w = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(lexemes(F.col("text"))).alias("word"))
-    got = w.join(stems(w.select("word").distinct()), "word").select("query_id", F.col("stem").alias("term")).distinct()
-    return got.join(got.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id").select("query_id", "n_terms", "term")
+    return retrieval.query_terms(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
 def posted(spark, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import clean, lexemes, uuid5
+from quillstone.functions.stems import stems
+from quillstone.functions.text import clean, uuid5
 from quillstone.operators import corpus, ranking, remap, retrieval, usage
 from quillstone.operators import relational as rel
 from quillstone.sources import markup
@@ -27,8 +28,7 @@ def test_min_match_and_head(spark):
     posted = retrieval.postings(spark.createDataFrame([("c", k, v) for k, v in texts.items()], "collection string, item int, text string"), F.col("text"))
 
     def ask(q):
-        t = spark.createDataFrame([(1, q)], "query_id int, text string").select("query_id", lexemes(F.col("text")).alias("w"))
-        t = t.select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("term"))
+        t = retrieval.query_terms(spark.createDataFrame([(1, q)], "query_id int, text string"))
         ids = lambda d: [r["item"] for r in d.orderBy("rank").collect()]
         return ids(retrieval.fts_and(posted, t, 10)), ids(retrieval.fts_min_match(posted, t, 10))
 
@@ -39,6 +39,20 @@ def test_min_match_and_head(spark):
     assert ask("the of and") == ([], []) and ask("'\" \\") == ([], [])
 
 
+def test_words_of_the_first_line_weigh_more(spark):
+    rows = [("c", 1, "plain line\nabout graces"), ("c", 2, "of Grace {{v:3}}\nplain words")]
+    posted = retrieval.postings(spark.createDataFrame(rows, "collection string, item int, text string"), F.col("text"))
+    got = retrieval.fts_and(posted, retrieval.query_terms(spark.createDataFrame([(1, "graced")], "query_id int, text string")), 5)
+    assert [r["item"] for r in got.orderBy("rank").collect()] == [2, 1]
+
+
+def test_stems(spark):
+    want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat",
+        "conditional": "condit", "rational": "ration", "generalizations": "gener", "oscillators": "oscil", "adoption": "adopt", "controll": "control", "rate": "rate", "cease": "ceas", "hopefulness": "hope", "über": "über", "at": "at", "x1s": "x1s"}
+    got = stems(spark.createDataFrame([(w,) for w in want], "word string"))
+    assert dict(map(tuple, got.collect())) == want
+
+
 def test_allocation_equals_dealing_one_by_one(spark):
     r, rows, want = random.Random(3), [], {}
     for q in range(60):
