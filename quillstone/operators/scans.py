@@ -40,18 +40,19 @@ def gutters(boxes: DataFrame, least: float = 0.02, noise: float = 0.1, wide: flo
     boxes: (page, id, x0, x1, ..). How many boxes lie over each x is a running sum over their
     edges; a gap is a stretch, `least` of the text block's width wide at least, over which no more
     than `noise` of the boxes lie; its middle is that of its widest stretch with fewest. Boxes over `wide` of the block's width (headings, and the
-    lines of a page in one column) and boxes without a width take no part.
+    lines of a page in one column) and boxes without a width take no part; a gap has boxes of columns
+    on both sides, so a column's ragged edge is none, however far a heading reaches beyond it.
     """
     page = W.partitionBy("page")
     known = boxes.filter("x1 > x0").withColumn("_l", F.min("x0").over(page)).withColumn("_r", F.max("x1").over(page))
     known = known.filter(F.col("x1") - F.col("x0") < (F.col("_r") - F.col("_l")) * wide)
-    sizes = known.groupBy("page").agg(F.first("_l").alias("_l"), F.first("_r").alias("_r"), F.count(F.lit(1)).alias("_n"))
+    sizes = known.groupBy("page").agg(F.first(F.col("_r") - F.col("_l")).alias("_w"), F.min("x0").alias("_l"), F.max("x1").alias("_r"), F.count(F.lit(1)).alias("_n"))
     edges = known.select("page", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d")))).alias("e"))
     steps = edges.groupBy("page", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d")).withColumn("over", F.sum("d").over(page.orderBy("x").rowsBetween(W.unboundedPreceding, 0))).withColumn("to", F.lead("x").over(page.orderBy("x")))
     free = steps.join(sizes, "page").withColumn("free", F.col("over") <= F.col("_n") * noise).filter("to IS NOT NULL")
     run = F.sum((~F.col("free").eqNullSafe(F.lag("free").over(page.orderBy("x")))).cast("int")).over(page.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    gaps = free.withColumn("run", run).filter("free").groupBy("page", "run", "_l", "_r").agg(F.min("x").alias("a"), F.max("to").alias("b"), F.min_by((F.col("x") + F.col("to")) / 2, F.struct("over", F.col("x") - F.col("to"))).alias("middle"))
-    return gaps.filter((F.col("a") > F.col("_l")) & (F.col("b") < F.col("_r")) & (F.col("b") - F.col("a") >= (F.col("_r") - F.col("_l")) * least)).select("page", "middle")
+    gaps = free.withColumn("run", run).filter("free").groupBy("page", "run", "_l", "_r", "_w").agg(F.min("x").alias("a"), F.max("to").alias("b"), F.min_by((F.col("x") + F.col("to")) / 2, F.struct("over", F.col("x") - F.col("to"))).alias("middle"))
+    return gaps.filter((F.col("a") > F.col("_l")) & (F.col("b") < F.col("_r")) & (F.col("b") - F.col("a") >= F.col("_w") * least)).select("page", "middle")
 
 
 def reading_order(boxes: DataFrame, keep: str = "all", least: float = 0.02, noise: float = 0.1) -> DataFrame:

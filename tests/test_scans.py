@@ -48,6 +48,15 @@ def test_columns_are_found(spark):
         assert len({r.column for r in got if r.page == n} - {-1}) == [1, 2, 3, 4, 2, 3][n - 1]
 
 
+def test_ragged_edges_are_no_gutters(spark):
+    """One of ten lines reaches beyond its column's others, on the outer side, and a heading reaches further still."""
+    right = [*page(1, 2, 5)[:-1], (1, 9, 100.0, 189.0, 41.0), (1, 20, 3.0, 195.0, 25.0)]
+    left = [(2, i, 200 - x1, 200 - x0, y) for _, i, x0, x1, y in right]
+    got = scans.reading_order(spark.createDataFrame(right + left, BOX)).collect()
+    columns = {(r.page, r.id): r.column for r in got}
+    assert columns == {(p, i): -1 if i == 20 else (i > 4) != (p == 2) for p in (1, 2) for i in [*range(10), 20]}
+
+
 def test_parallel_and_stacked(spark):
     both = page(1, 2, 6, (3,))
     df = spark.createDataFrame(both, BOX)
