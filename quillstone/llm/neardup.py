@@ -1,10 +1,11 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
-
-MinHash bands only propose pairs; every link is checked on the whole shingle sets. A first round
-links each text with the least one of its band, so a large group of copies sends a link for each
-member. A second round compares whatever is still apart within a band, in blocks: a task holds the
-shingle sets of two blocks, checks pairs there, and sends on a link for each two groups that it
-joins, never the pairs themselves.
+"""Near-duplicates by SimHash, decided by exact Jaccard similarity of word shingles.
+
+SimHash fingerprints within RADIUS bits propose pairs (simhash.nearest), and MinHash bands propose
+what a radius can't bound; every link is checked on the whole shingle sets. A first round links
+each text with its nearest ones by fingerprint and with the least one of its band, so a large
+group of copies sends a few links for each member. A second round compares whatever is still apart
+within a band, in blocks: a task holds the shingle sets of two blocks, checks pairs there, and
+sends on a link for each two groups that it joins, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from . import simhash
 from .components import components
 from .scratch import discard, materialize
 
+#: Differing bits of 64. At similarity 0.8 fingerprints differ in 10 bits or so; the radius is no bound, so bands follow.
+RADIUS = 14
 #: Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 24, 4
 BLOCK, BLOCK_HASHES = 256, 2_000_000  # texts, and hashes of their sets, in a block of the second round
@@ -68,24 +72,25 @@ def _node(s: np.ndarray) -> int:
 
 
 def _signed(rows: DataFrame, k: int) -> DataFrame:
-    """rows' columns but text, node (of the shingle set), its signature's lower halves and its bands."""
+    """rows' columns but text, node (of the shingle set), its size, fingerprint, signature's lower halves and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, sig = np.empty(b.num_rows, np.uint64), np.empty((b.num_rows, BANDS * ROWS), np.uint16)
-            key = np.empty((b.num_rows, BANDS), np.uint64)
+            key, fp, size = np.empty((b.num_rows, BANDS), np.uint64), np.empty(b.num_rows, np.uint64), np.empty(b.num_rows, np.int64)
             for i, t in enumerate(b.column("text")):
                 s = shingles(t.as_py(), k)
                 low = signature(s)
                 node[i], sig[i], key[i] = _node(s), low.astype(np.uint16), bands(low)
+                fp[i], size[i] = simhash.fingerprint(t.as_py(), k), len(s)
             keys = pa.ListArray.from_arrays(np.arange(0, key.size + 1, BANDS, dtype=np.int32), pa.array(key.view(np.int64).ravel()))
             others = [i for i, f in enumerate(b.schema) if f.name != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(i) for i in others], pa.array(node.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), keys],
-                [*[b.schema[i].name for i in others], "node", "sig", "keys"],
+                [*[b.column(i) for i in others], *map(pa.array, (node.view(np.int64), size, fp.view(np.int64))), pa.array([x.tobytes() for x in sig], pa.binary()), keys],
+                [*[b.schema[i].name for i in others], "node", "size", "fp", "sig", "keys"],
             )
 
-    return rows.mapInArrow(run, rows.drop("text").schema.add("node", "long").add("sig", "binary").add("keys", ArrayType(LongType())))
+    return rows.mapInArrow(run, rows.drop("text").schema.add("node", "long").add("size", "long").add("fp", "long").add("sig", "binary").add("keys", ArrayType(LongType())))
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -203,15 +208,17 @@ def groups(docs: DataFrame, keep: list[str | Column], *, digest: Column, text: s
     """
     rows = materialize(_signed(docs.select(*keep, digest.alias("_digest"), F.col(text).alias("text")), k), "neardup-rows")
     # copies have one node: however many there are, it goes to its bands once
-    nodes = materialize(rows.groupBy("node").agg(F.first("keys").alias("keys"), F.first("sig").alias("sig")), "neardup-nodes")
-    full, rows = rows, materialize(rows.drop("sig", "keys"), "neardup-slim")
+    once = [F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.min("fp").alias("fp")]
+    nodes = materialize(rows.groupBy("node").agg(*once), "neardup-nodes")
+    full, rows = rows, materialize(rows.drop("sig", "keys", "fp", "size"), "neardup-slim")
     discard(full)
+    prints = simhash.nearest(nodes.filter(F.col("size") > 1).select("node", "fp", "size"), RADIUS, similarity)  # two sets of one are alike only as one node
     keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     first = materialize(keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).filter("b < last").select("key", "b"), "neardup-bands")
     tied = materialize(keyed.join(first, "key").select("key", "band", "node", "b"), "neardup-tied")
     star = tied.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
     sigs = nodes.select("node", "sig")
-    likely = materialize(_likely(star, sigs), "neardup-likely")
+    likely = materialize(_likely(prints.union(star).distinct(), sigs), "neardup-likely")
     sets = _sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), rows, docs, digest, text, k)
     close = _alike(likely, sets, similarity)
     roots = materialize(components(close), "neardup-roots")
@@ -225,5 +232,5 @@ def groups(docs: DataFrame, keep: list[str | Column], *, digest: Column, text: s
     more = materialize(_apart(members.join(held, "node"), similarity), "neardup-apart")
     if not more.isEmpty():
         roots = materialize(components(close.union(more)), "neardup-roots")
-    discard(first, tied, members, more, sets, other, likely, close, nodes)
+    discard(prints, first, tied, members, more, sets, other, likely, close, nodes)
     return rows.join(roots, "node", "left").select(*[c for c in rows.columns if c not in ("node", "_digest")], F.coalesce("root", "node").alias("root"))

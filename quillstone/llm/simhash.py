@@ -9,6 +9,7 @@ bit counts. Components of the links follow.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,6 +23,7 @@ from .components import components
 from .scratch import discard, materialize
 
 TILE = 512
+BLOCK, PARTNERS = 32768, 4  # fingerprints in a block of nearest(); how many partners in another block each may have
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
@@ -105,6 +107,57 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _nearest(left: tuple, right: tuple, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (greater node, less node) across two blocks (nodes, fingerprints, sizes): each node of the left with its nearest partners."""
+    n1, f1, s1 = left
+    n2, f2, s2 = (x[np.argsort(right[0])] for x in right)  # so that ties go to the less node
+    found = [np.empty((2, 0), np.int64)]
+    for at in range(0, len(n1), 64):
+        bits = np.bitwise_count(f1[at : at + 64, None] ^ f2[None])
+        near = bits <= radius
+        for i in np.flatnonzero(near.any(axis=1)):
+            j, n, s = np.flatnonzero(near[i]), n1[at + i], s1[at + i]
+            j = j[(n2[j] != n) & (np.minimum(s2[j], s) >= ratio * np.maximum(s2[j], s))]
+            if len(j):
+                j = j[np.argsort(bits[i, j], kind="stable")[:PARTNERS]]
+                found.append(np.stack([np.maximum(n2[j], n), np.minimum(n2[j], n)]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def nearest(prints: DataFrame, radius: int, ratio: float) -> DataFrame:
+    """Pairs (a, b), a > b, of prints(node, fp, size) at `radius` or fewer differing bits and with sizes in the ratio or nearer.
+
+    For a radius too wide for tiles of bit counts: tiles are classes of sizes, and only equal and
+    neighbouring classes can hold the ratio, so all pairs that may count are compared. Of a
+    node's partners in a block that its own meets the nearest PARTNERS go on, so a dense group
+    sends a few pairs for each member. Work grows with the square of a class.
+    """
+    step = math.log(1 / ratio) * 1.001  # a little wider, so that rounding parts no pair by two classes
+    tiled = prints.withColumn("tile", F.floor(F.log("size") / step))
+    sizes = materialize(tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "simhash-sizes")
+    dealt = tiled.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    lists = [F.collect_list(F.col(c)).alias(c) for c in ("node", "fp", "size")]
+    arrays = materialize(dealt.groupBy("tile", "block").agg(*lists), "simhash-blocks")
+
+    # which blocks meet is told first, so that blocks are dealt by block and no size class is one key
+    each = sizes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    meet = each.select(F.col("tile").alias("t"), F.col("block").alias("k"), F.explode(F.array("tile", F.col("tile") + 1)).alias("tile"))
+    meet = meet.join(each, "tile").filter("t < tile OR k <= block")
+    left = arrays.select(F.col("tile").alias("t"), F.col("block").alias("k"), *[F.col(c).alias(f"{c}1") for c in ("node", "fp", "size")])
+    pairs = meet.join(left, ["t", "k"]).join(arrays, ["tile", "block"]).select("node1", "fp1", "size1", "node", "fp", "size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns, strict=True):
+                n1, f1, s1, n2, f2, s2 = (x.values.to_numpy() for x in row)
+                a, b = _nearest((n1, f1.view(np.uint64), s1), (n2, f2.view(np.uint64), s2), radius, ratio)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    found = materialize(pairs.mapInArrow(run, "a long, b long"), "simhash-nearest")
+    discard(arrays, sizes)
+    return found
+
+
 def near_duplicates(docs: DataFrame, keep: list[str | Column], *, doc_id: str = "doc_id", text: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
     """docs' keep columns, fingerprint (16 hex digits) and component_id, the least doc_id reachable.
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import ann, decontam, neardup, secret_scan
+from quillstone.llm import ann, decontam, neardup, secret_scan, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -191,3 +191,43 @@ def test_near_dedup_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = sorted((r.text, r.doc_id) for r in corpus_pipeline.dedup(spark, docs, SF).collect())
     assert got == sorted([(words[0], None), (words[1], None), (words[2], 7), (words[3], 7), (words[4], 8), (words[5], 3)])
+
+
+def test_simhash_nearest(spark):
+    """All pairs within the radius and ratio of sizes, in one block and in many; a dense group sends a few pairs for each member, and stays whole."""
+    r = random.Random(12)
+    rows = []
+    for g in range(30):
+        fp, size = r.getrandbits(64), r.choice((2, 4, 5, 100, 10**6))
+        for i in range(4):
+            bits = r.sample(range(64), r.randrange(9))
+            rows.append((10 * g + i - 150, (fp ^ sum(1 << b for b in bits)) - 2**63, max(1, size * r.choice((5, 5, 6, 4)) // 5)))
+    df = spark.createDataFrame(rows, "node long, fp long, size long")
+    want = {(max(a, b), min(a, b)) for (a, x, m), (b, y, n) in itertools.combinations(rows, 2) if ((x + 2**63) ^ (y + 2**63)).bit_count() <= 10 and min(m, n) >= 0.8 * max(m, n)}
+    for block in (32768, 7):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(simhash, "BLOCK", block)
+            assert {(x.a, x.b) for x in simhash.nearest(df, 10, 0.8).collect()} == want and len(want) > 50
+    dense = spark.range(3000).selectExpr("id AS node", "7L AS fp", "50L AS size")
+    got = {(x.a, x.b) for x in simhash.nearest(dense, 10, 0.8).collect()}
+    assert len(got) <= simhash.PARTNERS * 3000 and {a for a, b in got if b == 0} == set(range(1, 3000))
+    assert simhash.nearest(df.limit(0), 10, 0.8).count() == 0
+
+
+def test_near_dedup_by_fingerprints(spark, monkeypatch):
+    """The stage goes by SimHash: with no band in common, near copies are still found; what is only near by fingerprint stays."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "bands", lambda low: np.frombuffer(np.random.default_rng(low).bytes(8 * neardup.BANDS), np.uint64))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").filter("length(text) < 20000")
+    texts = {r.doc_id: r.text for r in docs.filter("doc_id < 700").collect()}
+    r = random.Random(4)
+    for i in list(texts)[:40]:  # changed words of long texts
+        words = (texts[i] or "").split()
+        if len(words) > 60:
+            words[r.randrange(len(words))] = "altogether"
+            texts[10**6 + i] = " ".join(words)
+    now = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = components(texts, alike(texts))
+    assert sum(i >= 10**6 and want[i] < 10**6 for i in texts) > 20
+    assert {x.doc_id for x in corpus_pipeline.dedup(spark, now, SF).collect()} == {i for i, g in want.items() if i == g}
