@@ -1,6 +1,7 @@
 """Nearest neighbours by block matrix join with int8 product tiles.
 
-Queries and rows are packed into blocks; every query block meets every row block. Products of
+Queries and rows are dealt into cells; every group of queries meets every part of the rows. A cell's
+queries come first and are held, its rows stream past them block by block. Products of
 int8 codes give approximate distances whose error the codes' residual norms bound; pairs whose
 least possible distance is not beyond the k-th greatest possible one are recomputed from the
 original vectors in double precision and merged into each query's heap. Nothing is missed, so
@@ -11,7 +12,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from .scratch import materialize
 
 QUERY_BLOCK, ROW_BLOCK, GROUP = 1024, 4096, 65536
-HELD = 16  # query blocks whose heaps a task keeps; the heaps of a block beyond are sent on and merged by rank later
+HELD = 16  # query blocks of a group: what a task holds at a time, with their heaps
 
 
 def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,14 +69,23 @@ class Heaps:
         codes, scale, norm, error = _codes(y)
         wide = np.float32 if y.shape[1] <= 1000 else np.float64  # sums of int8 products stay exact
         dots = (self.codes.astype(wide) @ codes.astype(wide).T).astype(np.float64)
-        near = np.sqrt(np.maximum(self.norm[:, None] + norm[None, :] - 2 * dots * self.scale[:, None] * scale[None, :], 0))
-        slack = self.error[:, None] + error[None, :] + 1e-9 * (1 + near)
-        far = near + slack
-        low = near - slack
-        far[self.ids[:, None] == ids[None, :]] = np.inf
-        kth = np.partition(far, self.k - 1, axis=1)[:, self.k - 1] if len(ids) > self.k else np.full(len(far), np.inf)
+        dots *= -2 * self.scale[:, None]
+        dots *= scale
+        dots += self.norm[:, None]
+        dots += norm
+        near = np.sqrt(np.maximum(dots, 0, out=dots), out=dots)
         worst = np.array([-h[0][0] if len(h) == self.k else np.inf for h in self.heaps])
-        rows, cols = np.nonzero((low <= np.minimum(kth, worst)[:, None]) & (self.ids[:, None] != ids[None, :]))
+        open_ = np.flatnonzero(np.isinf(worst))
+        if len(open_) and len(ids) > self.k:  # a full heap has a bound already
+            far = near[open_] * (1 + 1e-9) + self.error[open_, None] + error + 1e-9
+            far[self.ids[open_, None] == ids] = np.inf
+            worst[open_] = np.minimum(worst[open_], np.partition(far, self.k - 1, axis=1)[:, self.k - 1])
+        low = near
+        low *= 1 - 1e-9
+        low -= error
+        rows, cols = np.nonzero(low <= (worst + self.error + 1e-9)[:, None])
+        other = self.ids[rows] != ids[cols]
+        rows, cols = rows[other], cols[other]
         for i in range(0, len(rows), 65536):
             r, c = rows[i : i + 65536], cols[i : i + 65536]
             exact = _distances(self.x[r], y[c])
@@ -108,45 +117,56 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, *, vec_id: str = "vec
     vector, but as many candidates as it has rows. Very long vectors only make blocks larger.
     Fewer candidates than k: all. Empty table: no rows. Other columns are ignored.
     """
-    ids = F.col(vec_id).cast("long")
-    good = rows.filter(usable(F.col(vector)) & ids.isNotNull()).select(ids.alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("_r"))
+    ids, kind = F.col(vec_id).cast("long"), rows.schema[vector].dataType.simpleString()
+    values = F.col(vector) if kind == "array<float>" else F.col(vector).cast("array<double>")
+    good = rows.filter(usable(F.col(vector)) & ids.isNotNull()).select(ids.alias("vec_id"), values.alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("_r"))
     good = materialize(good.withColumn("d", F.size("v")), "ann-rows")
     total, n_queries = good.agg(F.count(F.lit(1)), F.count_if("q")).first()
     spark = rows.sparkSession
     if not total or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     spread = max(-(-total // GROUP), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = max(1, math.ceil(total / spread / ROW_BLOCK))
-    cell = F.xxhash64("_r")
-    packed = good.withColumn("g", F.pmod(cell, F.lit(spread))).withColumn("j", F.pmod(F.shiftright(cell, 32), F.lit(blocks)))
-    packed = packed.groupBy("d", "g", "j").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+    groups = math.ceil(n_queries / (QUERY_BLOCK * HELD))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = good.filter("q").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-    asked = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(math.ceil(n_queries / QUERY_BLOCK))))
-    asked = asked.groupBy("d", "b").agg(F.collect_list("vec_id").alias("qids"), F.flatten(F.collect_list("v")).alias("qs"))
-    grid = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    pairs = packed.join(grid, ["d", "g"]).select("d", "b", "qids", "qs", "ids", "vs")
+    asked = asked.select("d", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("b"), every(spread).alias("g"), F.lit(False).alias("row"), "vec_id", "v")
+    dealt = good.select("d", every(groups).alias("b"), F.pmod(F.xxhash64("_r"), F.lit(spread)).cast("int").alias("g"), F.lit(True).alias("row"), "vec_id", "v")
+    cells = asked.unionByName(dealt).repartitionById(spread, F.col("g")).sortWithinPartitions("d", "b", "g", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[tuple[int, int], Heaps] = OrderedDict()
-        flat = lambda x, kind: x.values.to_numpy(zero_copy_only=False).astype(kind)
+        at: tuple[int, int, int] | None = None
+        held: list[Heaps] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def told(h: Heaps) -> Iterator[pa.RecordBatch]:
-            out = list(h.rows())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+        def told() -> Iterator[pa.RecordBatch]:
+            for h in held:
+                out = list(h.rows())
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            for d, b, qids, qs, i, v in zip(*batch.columns, strict=True):
-                at, dim = (d.as_py(), b.as_py()), d.as_py()
-                if at not in held:
-                    held[at] = Heaps(flat(qids, np.int64), flat(qs, np.float64).reshape(-1, dim), k)
-                    if len(held) > HELD:
-                        yield from told(held.popitem(last=False)[1])
-                held.move_to_end(at)
-                held[at].add(flat(i, np.int64), flat(v, np.float64).reshape(-1, dim))
-        for h in held.values():
-            yield from told(h)
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d", "b", "g", "row")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                d, b, g, row = keys[:, low].tolist()
+                if (d, b, g) != at:
+                    yield from told()
+                    at, held, waiting = (d, b, g), [], []
+                part = batch.slice(low, high - low)
+                x, i = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d), part.column("vec_id").to_numpy(zero_copy_only=False)
+                if not row:
+                    waiting.append((i, x))
+                    continue
+                if waiting:
+                    qi, qx = (np.concatenate(z) for z in zip(*waiting, strict=True))
+                    held, waiting = [Heaps(qi[j : j + QUERY_BLOCK], qx[j : j + QUERY_BLOCK], k) for j in range(0, len(qi), QUERY_BLOCK)], []
+                for j in range(0, len(i) if held else 0, ROW_BLOCK):
+                    for h in held:
+                        h.add(i[j : j + ROW_BLOCK], x[j : j + ROW_BLOCK])
+        yield from told()
+
+    found = cells.mapInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -172,6 +172,25 @@ def test_ann_extreme_magnitudes(spark):
         assert [(x.score, x.vec_id) for x in mine] == sorted((x.score, x.vec_id) for x in mine)
 
 
+def test_ann_rows_hold_one_vector(spark, monkeypatch):
+    """What goes to a task is one vector a row, whatever the number of queries; groups, blocks and record batches of any size find the same."""
+    r = np.random.default_rng(8)
+    vs = {i: r.integers(-4, 5, 6).astype(float) + 0.5 for i in range(0, 900, 2)}
+    df, fed, was = spark.createDataFrame([(i, v.tolist()) for i, v in vs.items()], "vec_id long, embedding array<double>"), [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: fed.append(self) or was(self, *a, **b))
+    for name, n in (("QUERY_BLOCK", 4), ("HELD", 2), ("ROW_BLOCK", 7)):
+        monkeypatch.setattr(ann, name, n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = ann.search(df, F.col("vec_id") % 20 == 0, k=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    arrays = [F.max(F.size(c)).alias(c) for c, kind in fed[0].dtypes if kind.startswith("array")]
+    assert set(fed[0].agg(*arrays).first()) == {6}
+    want = [(q, i + 1, v) for q in vs if q % 20 == 0 for i, (_, v) in enumerate(sorted((float(((vs[q] - x) ** 2).sum()), v) for v, x in vs.items() if v != q)[:5])]
+    assert sorted((x.query_id, x["rank"], x.vec_id) for x in got) == sorted(want)
+
+
 def test_secrets_of_one_repository(spark):
     import corpus_pipeline
 
