@@ -194,3 +194,15 @@ def test_alignment_and_state_machines(spark):
     assert ok == {0: True, 1: False, 2: True, 3: False, 4: False, 5: True}
     t = spark.createDataFrame([("abcdef",)], "t string").select(enrichment.interleave(F.col("t"), F.array(F.struct(F.lit(4).alias("at"), F.lit(2).alias("n")), F.struct(F.lit(0).alias("at"), F.lit(1).alias("n")))))
     assert t.first()[0] == "[1]abcd[2]ef"
+
+
+def test_remap_sends_nothing_out_whole(spark, monkeypatch):
+    """No step collects a table on the driver to send it out, and short texts of all lengths are met in one join."""
+    old = [(i, i % 3, f"alpha{i} beta gamma" if i % 2 else " ".join(f"w{i}x{j}" for j in range(12))) for i in range(30)]
+    new = [(100 + i, d, i, f"before {t} after") for i, d, t in old]
+    plans, keep = [], remap.materialize
+    monkeypatch.setattr(remap, "materialize", lambda df, name: plans.append(df) or keep(df, name))
+    got = remap.remap(spark.createDataFrame(old, "id long, document int, content string"), spark.createDataFrame(new, "id long, document int, position int, content string"), spark.createDataFrame([], "id long"))
+    for df in [*plans, got]:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.old_id, r.new_id, r.method) for r in got.collect()} == {(i, 100 + i, "containment") for i, *_ in old}
