@@ -54,3 +54,11 @@ def test_assembled_spans_once(spark):
     spans = spark.createDataFrame([(1, 1, 0, 2, 5), (1, 1, 0, 5, 6), (1, 1, 0, 9, 9), (2, 1, 0, 60, 70)], "id int, document int, chapter int, first int, last int")
     got = {r.id: (r.first, r.last, r.n, r.text) for r in ranking.assembled(results, spans, passages).collect()}
     assert got[1] == (2, 9, 5, "p2\n\np3\n\np5\n\np6\n\np9") and got[2][:3] == (60, 150, 12) and got[3] == (None, None, 0, None)
+
+
+def test_matched_forward_sends_no_runs_out(spark):
+    """The runs of a small table are many; no join sends them through the driver."""
+    rows = [(d, k, f"some words of line {k} in document {d} stand here") for d in range(3) for k in range(8)]
+    got = units.matched_forward(spark.createDataFrame(rows, "document int, position int, content string"), spark.createDataFrame(rows, "document int, unit int, text string"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.document, r.position, r.unit, r.at_start) for r in got.collect()) == [(d, k, k, True) for d, k, _ in rows]
