@@ -129,3 +129,20 @@ def test_empty_tables(spark):
     p = spark.createDataFrame([], "id int, document int, content string")
     assert curation.text_holders(p, p).count() == 0
     assert curation.result_checks(spark.createDataFrame([], "query_id int, rank int, item int"), spark.createDataFrame([(1, 1, "none", 5)], "check_id int, query_id int, kind string, item int")).first().passed
+
+
+def test_corrections_of_a_long_line(spark, tmp_path):
+    """A line of 10,000 words is corrected and judged: places beyond whole numbers' squares count, and no word is looked for among all others."""
+    from quillstone import catalog
+
+    line = " ".join(f"w{i}" for i in range(10_000))
+    spark.createDataFrame([(22, line, "en", "src0", len(line))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    row = catalog.QUERIES["corrections_judged"](spark, str(tmp_path)).first()
+    ks = [(2_200_000 * 7 + i * i * 31) % 97 for i in range(1, 10_001)]
+    runs = [0]
+    for k in ks:
+        if k == 1 or k > 3:
+            runs.append(0)
+        runs[-1] += k <= 3
+    n = sum(runs)  # neighbours that all changed are one stretch, as long as its longer side
+    assert (row.id, row.status, row.changed) == (2_200_000, "accepted", n) and n <= 500
