@@ -146,3 +146,22 @@ def test_corrections_of_a_long_line(spark, tmp_path):
         runs[-1] += k <= 3
     n = sum(runs)  # neighbours that all changed are one stretch, as long as its longer side
     assert (row.id, row.status, row.changed) == (2_200_000, "accepted", n) and n <= 500
+
+
+def test_description_leak_at_every_offset(spark, tmp_path):
+    """A run of 40 characters is found wherever it stands, 39 are not; a document of 100,000 characters takes one pass."""
+    import random
+
+    from quillstone import catalog
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    items = [(k, word(90)) for k in range(45)]
+    docs = [(k, word(k) + t[7 : 7 + 40] + word(30)) for k, t in items] + [(100 + k, word(k) + t[7 : 7 + 39] + word(30)) for k, t in items] + [(200, word(100_000) + items[3][1][:40]), (201, items[4][1][50:]), (202, "short"), (203, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["description_leak"](spark, str(tmp_path))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    text = dict(docs)
+    want = {(k, d) for k, t in items for d, x in text.items() if x and any(t[i : i + 40] in x for i in range(51))}
+    assert {(x.item_id, x.doc_id) for x in got.collect()} == want and {(3, 200), (4, 201)} <= want
