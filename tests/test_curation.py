@@ -165,3 +165,18 @@ def test_description_leak_at_every_offset(spark, tmp_path):
     text = dict(docs)
     want = {(k, d) for k, t in items for d, x in text.items() if x and any(t[i : i + 40] in x for i in range(51))}
     assert {(x.item_id, x.doc_id) for x in got.collect()} == want and {(3, 200), (4, 201)} <= want
+
+
+def test_changes_within_removed_spans(spark, tmp_path):
+    """A line whose small letters all stand in what is taken out is changed too, as its SQL says."""
+    import duckdb
+
+    from quillstone import catalog
+
+    lines = [f"A of some words. {k}" if k % 50 == 7 else f"Line {k}" for k in range(120)] + ["NO SMALL LETTERS"] * 50
+    docs = [(1, "\n".join(lines)), (2, "\n".join(["X"] * 7 + ["STILL NONE"])), (3, "\n".join(["X"] * 7 + ["B of it, and more. C of that. D"]))]
+    spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in docs], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(r[0] for r in con.execute(catalog.ORACLES["unexplained_changes"]).fetchall())
+    assert sorted(x.id for x in catalog.QUERIES["unexplained_changes"](spark, str(tmp_path)).collect()) == want == [100007, 100057, 100107, 300007]
