@@ -206,3 +206,40 @@ def test_remap_sends_nothing_out_whole(spark, monkeypatch):
     for df in [*plans, got]:
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r.old_id, r.new_id, r.method) for r in got.collect()} == {(i, 100 + i, "containment") for i, *_ in old}
+
+
+def test_vector_paths_brute_force(spark, monkeypatch):
+    """Queries and points meet in tasks and not as rows of a join; odd vectors, ties by item, skipped items and halves at the sixth place are as before."""
+    import math
+
+    r = random.Random(9)
+    ints = lambda: [float(r.randrange(-2, 3)) for _ in range(4)]
+    points = [(i, i % 3, ints()) for i in range(400)] + [(500 + i, 1, [1.0, 2.0, 0.0, 1.0]) for i in range(40)] + [(600, 0, [0.0] * 4)]
+    asked = [(q, c, "query" if n == 0 else "hyde", n, q * 10 + n if q % 2 else None, ints()) for q in range(30) for n in range(2) for c in range(4)]
+
+    def score(a, b):
+        if a is None or b is None or len(a) != len(b):
+            return None
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / norms, 6) if norms else 0.0
+
+    def same(ps, qs, k, least):
+        make = retrieval.with_norms(spark.createDataFrame(ps, "item long, collection int, vector array<double>"))
+        df = retrieval.vector_paths(spark.createDataFrame(qs, "query_id int, collection int, family string, path_no int, skip long, vector array<double>"), make, k, least)
+        got = sorted((x.query_id, x.collection, x.path_no, x["rank"], x["item"], x.score) for x in df.collect())
+        want = []
+        for q, c, _, n, skip, v in qs:
+            near = [(score(v, x), i) for i, pc, x in ps if pc == c and i != skip]
+            near = [z for z in near if least is None or z[0] is not None and z[0] >= least]
+            want += [(q, c, n, j + 1, i, s) for j, (s, i) in enumerate(sorted(near, key=lambda z: (z[0] is None, -(z[0] or 0), z[1]))[:k])]
+        assert [x[:5] for x in got] == [x[:5] for x in sorted(want, key=lambda x: x[:4])]
+        assert [x[5] for x in got] == [x[5] if x[5] is None else pytest.approx(x[5], abs=1.1e-6) for x in sorted(want, key=lambda x: x[:4])]
+        return df
+
+    for name, n in (("BLOCK", 16), ("PART", 40), ("HELD", 16)):
+        monkeypatch.setattr(retrieval, name, n)
+    df = same(points, asked, 7, None)
+    assert "_salt" not in df._jdf.queryExecution().executedPlan().toString()
+    same(points, asked, 7, 0.5)
+    odd = [(700, 0, None), (701, 1, [1.0, 2.0]), (702, 3, [1.0, 2.0])]
+    same(points + odd, asked + [(50, 0, "query", 0, None, None), (51, 3, "query", 0, None, [2.0, 4.0])], 500, None)
