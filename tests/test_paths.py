@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 NAMES = [
     "result_checks",
+    "rerank_dispatch",
 ]
 
 
