@@ -11,7 +11,7 @@ from ..functions.text import words
 from ..functions.vectors import cosine
 from ..operators import ranking, retrieval
 from ..session import load
-from .inputs import FUSED, MATCHED, PASSAGES, PATHS, POINTS, POSTINGS, VOCABULARY, asked, fused, paths, passages, points, posted, terms
+from .inputs import FUSED, MATCHED, PASSAGES, PATHS, POINTS, POSTINGS, VOCABULARY, asked, fused, fused_once, paths, passages, points, posted, terms
 
 
 @register("vector_topk", f"WITH {PATHS} SELECT query_id, collection, item, score, rank FROM paths WHERE path_no = 0 AND rank <= 10")
@@ -77,7 +77,7 @@ missing AS (SELECT * FROM wanted ANTI JOIN kept USING (query_id, collection)),
 best AS (SELECT * FROM (SELECT f.query_id, f.collection, f.item, f.score, row_number() OVER (PARTITION BY query_id, collection ORDER BY f.score DESC, f.item) AS r FROM fused f SEMI JOIN missing USING (query_id, collection) WHERE f.score >= 0.04) WHERE r = 1)
 SELECT * FROM kept UNION ALL SELECT query_id, collection, item, score FROM best""")
 def collection_guarantee(spark, sf_dir):
-    rows = fused(spark, sf_dir).select("query_id", "collection", "item", "score")
+    rows = fused_once(spark, sf_dir).select("query_id", "collection", "item", "score")
     return ranking.guarantee(rows.filter("score >= 0.09"), rows, rows.select("query_id", "collection").distinct(), 0.04)
 
 
@@ -86,7 +86,7 @@ fine AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, work
 again AS (SELECT *, row_number() OVER (PARTITION BY query_id, work ORDER BY score DESC, item) > 1 AS again FROM fine)
 SELECT query_id, item, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY again, score DESC, item) AS n FROM again) WHERE n <= 5""")
 def min_floor(spark, sf_dir):
-    rows = fused(spark, sf_dir).withColumn("work", F.floor(F.col("item") / 20)).withColumn("chapter", F.col("item") % 5)
+    rows = fused_once(spark, sf_dir).withColumn("work", F.floor(F.col("item") / 20)).withColumn("chapter", F.col("item") % 5)
     return ranking.minimum_floor(rows.filter("query_id % 2 = 1"), rows, "work", "chapter", 5).select("query_id", "item", "score")
 
 
@@ -121,7 +121,7 @@ j AS (SELECT f.query_id, f.collection, f.item, f.score, s.s, h.query_id IS NOT N
   FROM fused f LEFT JOIN s USING (query_id, collection, item) LEFT JOIN h ON f.query_id = h.query_id AND f.collection = h.collection)
 SELECT query_id, item, round(CASE WHEN has THEN coalesce(s, 0) ELSE greatest(0, 0.4::DOUBLE - 0.01::DOUBLE * place) END, 6) AS final, CASE WHEN has THEN 'scorer' ELSE 'rrf_fallback' END AS scorer FROM j""")
 def fallback_scores(spark, sf_dir):
-    rows = fused(spark, sf_dir)
+    rows = fused_once(spark, sf_dir)
     scored = rows.filter("collection % 3 <> 0 AND item % 4 <> 0").withColumn("score", F.col("score") * 2)
     return ranking.fallback_scores(rows, scored).select("query_id", "item", "final", "scorer")
 

@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "result_checks",
     "rerank_dispatch",
+    "min_floor",
 ]
 
 
