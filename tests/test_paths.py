@@ -10,6 +10,7 @@ NAMES = [
     "result_checks",
     "rerank_dispatch",
     "min_floor",
+    "collection_guarantee",
 ]
 
 
