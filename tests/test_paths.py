@@ -11,6 +11,7 @@ NAMES = [
     "rerank_dispatch",
     "min_floor",
     "collection_guarantee",
+    "overlap_report",
 ]
 
 
