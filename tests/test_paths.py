@@ -12,6 +12,7 @@ NAMES = [
     "min_floor",
     "collection_guarantee",
     "overlap_report",
+    "fallback_scores",
 ]
 
 
