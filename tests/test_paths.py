@@ -13,6 +13,7 @@ NAMES = [
     "collection_guarantee",
     "overlap_report",
     "fallback_scores",
+    "greedy_pack",
 ]
 
 
