@@ -14,6 +14,7 @@ NAMES = [
     "overlap_report",
     "fallback_scores",
     "greedy_pack",
+    "pool_allocation",
 ]
 
 
