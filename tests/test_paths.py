@@ -15,6 +15,7 @@ NAMES = [
     "fallback_scores",
     "greedy_pack",
     "pool_allocation",
+    "eval_summary",
 ]
 
 
