@@ -16,6 +16,7 @@ NAMES = [
     "greedy_pack",
     "pool_allocation",
     "eval_summary",
+    "collection_relevance",
 ]
 
 
