@@ -17,6 +17,7 @@ NAMES = [
     "pool_allocation",
     "eval_summary",
     "collection_relevance",
+    "quota_cap",
 ]
 
 
